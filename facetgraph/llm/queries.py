@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetgraph.llm.common import table
+from facetgraph.llm.audio import text_audio_features
+from facetgraph.llm.common import held_out, table
+from facetgraph.llm.language import predict_language, train_language_model
 from facetgraph.llm.mixing import mix_sources
 from facetgraph.llm.packing import pack_documents
 from facetgraph.llm.token_counts import count_tokens
@@ -43,12 +45,25 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_audio_features(table(spark, sf_dir, "documents"), keep_tensors=False)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train_language_model(docs, ~held_out("doc_id", 4))
+    predicted = predict_language(docs, model)
+    return predicted.select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score", "n_switches")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
         "op6_token_counts": op6_token_counts,
         "op7_url_filter": op7_url_filter,
+        "op8_audio": op8_audio,
+        "op9_language": op9_language,
     }
 
 
