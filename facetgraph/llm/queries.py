@@ -15,6 +15,7 @@ from facetgraph.llm.mixing import mix_sources
 from facetgraph.llm.packing import pack_documents
 from facetgraph.llm.token_counts import count_tokens
 from facetgraph.llm.url_filter import UrlRule, filter_urls
+from facetgraph.llm.warc import archive_pages
 
 URL_RULES = [UrlRule("block", "net/"), UrlRule("allow", "example.net/en/"), UrlRule("block", "example.com/de/"), UrlRule("allow", "org/fr/")]
 
@@ -56,6 +57,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score", "n_switches")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archive_pages(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "history_range", "history_position")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
@@ -64,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filter": op7_url_filter,
         "op8_audio": op8_audio,
         "op9_language": op9_language,
+        "op10_warc": op10_warc,
     }
 
 
