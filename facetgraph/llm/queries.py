@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from facetgraph.llm.audio import text_audio_features
 from facetgraph.llm.common import held_out, table
+from facetgraph.llm.fingerprint import fingerprint_edits
 from facetgraph.llm.language import predict_language, train_language_model
 from facetgraph.llm.mixing import mix_sources
 from facetgraph.llm.packing import pack_documents
@@ -20,21 +21,23 @@ from facetgraph.llm.warc import archive_pages
 URL_RULES = [UrlRule("block", "net/"), UrlRule("allow", "example.net/en/"), UrlRule("block", "example.com/de/"), UrlRule("allow", "org/fr/")]
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def quality_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One weight a labelled document: 4 where all its labels call it good, 1 where none does; else 2."""
+def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One weight a labelled document: 4 where all its labels call it good, 1 where none does, else 2."""
     good = F.avg("quality")
     weight = F.when(good == 1, 4.0).when(good == 0, 1.0).otherwise(2.0)
-    return table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(weight.alias("quality_weight")).withColumnRenamed("doc_id", "labelled_id")
+    return table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(weight.alias("weight"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    weighed = docs.join(quality_of(spark, sf_dir), F.col("doc_id") == F.col("labelled_id"), "left")
-    mixed = mix_sources(weighed, quality=F.coalesce(F.col("quality_weight"), F.lit(2.0)))
+    mixed = mix_sources(table(spark, sf_dir, "documents"), quality=label_quality(spark, sf_dir), plain_quality=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
@@ -64,6 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_fingerprint": op2_fingerprint,
         "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
         "op6_token_counts": op6_token_counts,
