@@ -12,6 +12,7 @@ from facetgraph.llm.audio import text_audio_features
 from facetgraph.llm.common import held_out, table
 from facetgraph.llm.fingerprint import fingerprint_edits
 from facetgraph.llm.language import predict_language, train_language_model
+from facetgraph.llm.lm_score import score_documents
 from facetgraph.llm.mixing import mix_sources
 from facetgraph.llm.packing import pack_documents
 from facetgraph.llm.token_counts import count_tokens
@@ -21,6 +22,10 @@ from facetgraph.llm.warc import archive_pages
 URL_RULES = [UrlRule("block", "net/"), UrlRule("allow", "example.net/en/"), UrlRule("block", "example.com/de/"), UrlRule("allow", "org/fr/")]
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), held_out("doc_id", 7))
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_fingerprint": op2_fingerprint,
         "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
