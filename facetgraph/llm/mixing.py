@@ -51,7 +51,8 @@ def mix_sources(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    quality: Column | None = None,
+    quality: DataFrame | None = None,
+    plain_quality: float = 1.0,
     weights: tuple[float, ...] = (5, 2, 1),
     ceiling: int = 3,
     ranges: int = 4096,
@@ -61,17 +62,25 @@ def mix_sources(
     A source's target over its size is so many complete epochs of all its documents and a fraction. The fraction is
     drawn by keys -ln(u) / quality, least first, until their sizes fill the budget; the document the budget ends in is
     taken in part, its first words, so that a source's taken words are its target, rounded down. u comes from a hash
-    of the id and the text's length, so reruns agree. ``quality`` (1 where not given) must be positive; null counts as 1.
-    Null and empty texts have size 0 and take nothing; a null source is a source; repeated rows each count, and their
-    ties are ordered by size only, so equal rows may swap. An empty table gives no rows.
+    of the id and the text's length, so reruns agree. ``quality`` has one positive weight a document (columns named as
+    ``doc_id`` and weight); a document without one gets ``plain_quality``. Null and empty texts have size 0 and take
+    nothing; a null source is a source; repeated rows each count, and equal keys are ordered by id and size, so equal
+    rows may swap. Other columns are not read; an empty table gives no rows. Texts are read once and never moved.
     """
-    weight = F.coalesce(quality, F.lit(1.0)) if quality is not None else F.lit(1.0)
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         word_count(text).alias("size"),
-        (-F.log(uniform(F.col(doc_id), F.length(text))) / weight).alias("mix_key"),
+        uniform(F.col(doc_id), F.length(text)).alias("u"),
     )
+    if quality is None:
+        rows = rows.withColumn("weight", F.lit(plain_quality))
+    else:
+        # sizes are written first, so the join moves no text whatever its strategy
+        known = quality.select(F.col(doc_id).alias("weighed"), "weight")
+        rows = written(rows, "sizes").join(known, F.col("doc_id") == F.col("weighed"), "left").drop("weighed")
+        rows = rows.withColumn("weight", F.coalesce("weight", F.lit(plain_quality)))
+    rows = rows.withColumn("mix_key", -F.log("u") / F.col("weight")).drop("u", "weight")
     # 1 - exp(-key) is uniform for weight 1 and rises with the key: its ranges keep the order
     cut = F.least(F.floor((1 - F.exp(-F.col("mix_key"))) * ranges).cast("int"), F.lit(ranges - 1)).alias("range")
     rows = written(rows.select("*", cut), "mix")
@@ -79,20 +88,20 @@ def mix_sources(
     targets = source_targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, ceiling)
     share = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("bigint")
     targets = targets.withColumn("epochs", share).withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("bigint"))
+    # what a whole range gives: all of it before the budget's end, none after; the range it ends in is sorted by row
     before = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ends = sums.withColumn("before", before).withColumnRenamed("source", "s").join(targets, F.col("s").eqNullSafe(F.col("source")))
-    ends = ends.where((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("n") > F.col("budget")))
-    ends = ends.groupBy("source").agg(F.max(F.struct("range", "before")).alias("end")).select(F.col("source").alias("s2"), F.col("end.range").alias("end_range"), F.col("end.before").alias("end_before"))
-    plan = targets.join(ends, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2").withColumnRenamed("source", "s")
-    chosen = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # every range but the one in which the budget ends is decided by its number; that one is sorted
-    inside = F.col("range") == F.col("end_range")
-    whole = F.when(F.col("end_range").isNull() | (F.col("range") < F.col("end_range")), F.col("size")).otherwise(F.lit(0))
+    plan = sums.withColumn("before", before).withColumnRenamed("source", "s").withColumnRenamed("range", "r").join(targets, F.col("s").eqNullSafe(F.col("source"))).drop("source")
+    chosen = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
+    return _draw(chosen)
+
+
+def _draw(chosen: DataFrame) -> DataFrame:
+    """Adds what the fraction takes of each row; only the ranges in which a budget ends are sorted."""
+    inside = (F.col("before") < F.col("budget")) & (F.col("before") + F.col("n") > F.col("budget"))
+    whole = F.when(F.col("before") + F.col("n") <= F.col("budget"), F.col("size")).otherwise(F.lit(0))
     order = W.partitionBy("source").orderBy("mix_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    reached = F.col("end_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    reached = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     part = F.least(F.col("size"), F.greatest(F.col("budget") - reached, F.lit(0)))
-    decided = chosen.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", whole)
-    sorted_rows = chosen.where(inside).withColumn("extra", part)
-    out = decided.unionByName(sorted_rows)
+    out = chosen.where(~inside).withColumn("extra", whole).unionByName(chosen.where(inside).withColumn("extra", part))
     taken = (F.col("epochs") * F.col("size") + F.col("extra")).cast("bigint")
     return out.select("doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", taken.alias("taken"), "mix_key")

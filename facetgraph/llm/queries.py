@@ -14,6 +14,7 @@ from facetgraph.llm.fingerprint import fingerprint_edits
 from facetgraph.llm.language import predict_language, train_language_model
 from facetgraph.llm.lm_score import score_documents
 from facetgraph.llm.mixing import mix_sources
+from facetgraph.llm.near_dedup import near_duplicates
 from facetgraph.llm.packing import pack_documents
 from facetgraph.llm.token_counts import count_tokens
 from facetgraph.llm.url_filter import UrlRule, filter_urls
@@ -46,6 +47,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprint": op2_fingerprint,
         "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
+        "op5_near_dedup": op5_near_dedup,
         "op6_token_counts": op6_token_counts,
         "op7_url_filter": op7_url_filter,
         "op8_audio": op8_audio,
