@@ -214,13 +214,17 @@ def train_language_model(docs: DataFrame, learn_from: Column, *, doc_id: str = "
     return fit_crf(sorted((r[0], r[1]) for r in sample))
 
 
-def predict_language(docs: DataFrame, model: CrfModel, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def predict_language(docs: DataFrame, model: CrfModel, *, doc_id: str = "doc_id", text: str = "text", keep_rows: bool = False) -> DataFrame:
     """doc_id, lang_pred, score, n_switches for every row, from its whole text alone.
 
     A text's language is the one with most of its letters, by the words' marginal probabilities; score is its share.
     ``und`` and 0 for null and letterless texts, and for all texts if nothing was learned. Repeated rows and null ids
-    pass through; other columns are not read; an empty table gives no rows. No shuffle.
+    pass through; other columns are not read; an empty table gives no rows. ``keep_rows`` gives the
+    whole row as a struct, ``row``, in place of doc_id. No shuffle.
     """
+    first = F.struct("*").alias("row") if keep_rows else F.col(doc_id).cast("bigint").alias("doc_id")
+    rows = docs.select(first, F.col(text).alias("text"))
+    schema = T.StructType([rows.schema.fields[0], *PREDICTED.fields[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.asarray([*model.labels, "und"], dtype=object)
@@ -232,6 +236,6 @@ def predict_language(docs: DataFrame, model: CrfModel, *, doc_id: str = "doc_id"
                     best, share, switches = model.predict(texts)
                 else:
                     best, share, switches = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(share), pa.array(switches)], names=PREDICTED.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(share), pa.array(switches)], names=schema.names)
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PREDICTED)
+    return rows.mapInArrow(run, schema)

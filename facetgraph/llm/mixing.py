@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facetgraph.llm.common import word_count, written
+from facetgraph.llm.common import GAP, word_count, written
 
 
 def uniform(*columns: Column) -> Column:
@@ -105,3 +105,34 @@ def _draw(chosen: DataFrame) -> DataFrame:
     out = chosen.where(~inside).withColumn("extra", whole).unionByName(chosen.where(inside).withColumn("extra", part))
     taken = (F.col("epochs") * F.col("size") + F.col("extra")).cast("bigint")
     return out.select("doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", taken.alias("taken"), "mix_key")
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """The text up to the end of so many words; blanks between them become one."""
+    parts = F.filter(F.split(text, GAP), lambda w: w != "")
+    return F.array_join(F.slice(parts, F.lit(1), words.cast("int")), " ")
+
+
+def cut_to_mix(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: taken / size whole copies, then the first taken % size words.
+
+    ``mixed`` is what mix_sources gave for the same rows. Rows with one id, size and source share what these rows
+    together take: copies go round them as evenly as they can. Rows that nothing is taken of are dropped. Columns stay.
+    """
+    row_id = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), row_id.alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), F.col(text).alias("text"))
+    mixed_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    plan = mixed.groupBy(mixed_id.alias("i"), F.col("source").alias("s"), F.col("size").alias("z")).agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    same = (F.col("id") == F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    both = rows.join(plan.where("taken > 0"), same)
+    once = both.where("rows = 1").withColumn("mine", F.col("taken"))
+    turn = F.row_number().over(W.partitionBy("id", "source", "size").orderBy("text")) - 1
+    copies = F.floor(F.col("taken") / F.col("z"))
+    rest = F.when(turn == F.pmod(copies, F.col("rows")), F.col("taken") - copies * F.col("z")).otherwise(F.lit(0))
+    share = F.floor((copies + F.col("rows") - 1 - turn) / F.col("rows"))
+    several = both.where("rows > 1").withColumn("mine", share * F.col("z") + rest)
+    every = once.unionByName(several).where("mine > 0")
+    copy = every.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("mine") / F.col("z")).cast("int"))))
+    words = F.least(F.col("z"), F.col("mine") - (F.col("copy") - 1) * F.col("z"))
+    cut = F.when(words == F.col("z"), F.col("text")).otherwise(first_words(F.col("text"), words))
+    return copy.select(F.col("row").withField(text, cut).alias("row")).select("row.*")
