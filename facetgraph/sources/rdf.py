@@ -97,7 +97,8 @@ class TurtleReader:
             if kind in ("lang", "name") and word in ("prefix", "base"):
                 self.take()
                 if word == "prefix":
-                    self.prefixes[self.take()[1].rstrip(":")] = self.resolve(unescape(self.take()[1][1:-1]))
+                    name = self.take()[1].rstrip(":")
+                    self.prefixes[name] = self.resolve(unescape(self.take()[1][1:-1]))
                 else:
                     self.base = unescape(self.take()[1][1:-1])
                 if value.startswith("@"):
