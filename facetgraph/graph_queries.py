@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetgraph import schema as sc
 from facetgraph.operators import aggregates as ag
 from facetgraph.queries import query, t
 from facetgraph.sources import files as fl
@@ -188,3 +189,78 @@ def asset_tree(spark, d):
 @query("SELECT 'customer' AS domain, c_custkey AS k, c_acctbal AS bal, NULL AS p_size FROM customer UNION ALL SELECT 'part', p_partkey, NULL, p_size FROM part")
 def tagged_union(spark, d):
     return ag.union_with_tag({"customer": t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal")), "part": t(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size")})
+
+
+# schemas
+
+SCHEMA = """@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix e: <http://e/v1/> . @prefix f: <http://f/v1/> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .
+@prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix skos: <http://www.w3.org/2004/02/skos/core#> . @prefix owl: <http://www.w3.org/2002/07/owl#> .
+e:MapShape sh:targetClass e:Map ; sh:property [ sh:path e:format ; sh:in ( "xodr" "lanelet" ) ; sh:name "file format" ] , [ sh:path e:length ; sh:datatype xsd:float ] .
+e:SceneShape sh:targetClass f:Scene ; sh:property [ sh:path e:format ; sh:datatype xsd:string ] , [ sh:path f:uses ; sh:class e:Map ] , [ sh:path f:low ; sh:datatype xsd:integer ; sh:lessThanOrEquals f:high ] .
+e:Map rdfs:subClassOf e:Asset . f:Scene rdfs:subClassOf e:Asset .
+e:places skos:narrower e:europe . e:europe skos:narrower e:de , e:fr . e:de skos:notation "DE" . e:fr skos:prefLabel "France" .
+e:Kind owl:oneOf ( "xodr" "osm" ) ."""
+
+
+def schema(spark: SparkSession) -> DataFrame:
+    return rdf.quads_of(spark, SCHEMA)
+
+
+@query("SELECT * FROM (VALUES ('format', 'Map,Scene'), ('length', 'Map'), ('uses', 'Scene'), ('low', 'Scene')) v(name, domains)")
+def schema_property_domains(spark, d):
+    return sc.property_domains(schema(spark))
+
+
+@query("SELECT * FROM (VALUES ('http://e/v1/format', 0, 'xodr'), ('http://e/v1/format', 1, 'lanelet')) v(path, position, value)")
+def schema_enumerations(spark, d):
+    return sc.enumerations(schema(spark))
+
+
+@query("SELECT * FROM (VALUES ('http://e/v1/length', 'float'), ('http://f/v1/low', 'integer')) v(path, kind)")
+def schema_numeric(spark, d):
+    return sc.numeric_properties(schema(spark))
+
+
+@query("SELECT 'http://e/v1/SceneShape' AS shape, 'http://f/v1/low' AS low, 'http://f/v1/high' AS high")
+def schema_intervals(spark, d):
+    return sc.intervals(schema(spark))
+
+
+@query("SELECT 'http://f/v1/Scene' AS source, 'http://f/v1/uses' AS predicate, 'http://e/v1/Map' AS target")
+def schema_references(spark, d):
+    return sc.references(schema(spark))
+
+
+@query("SELECT * FROM (VALUES ('places', 'DE'), ('places', 'France'), ('europe', 'DE'), ('europe', 'France'), ('de', 'DE'), ('france', 'France')) v(key, value)")
+def schema_concepts(spark, d):
+    return sc.concept_values(schema(spark))
+
+
+@query("SELECT * FROM (VALUES ('http://e/v1/Asset')) v(base)")
+def schema_shared_bases(spark, d):
+    return sc.shared_bases(schema(spark))
+
+
+@query("SELECT * FROM (VALUES ('http://f/v1/Scene', 1), ('http://e/v1/Map', 0)) v(class, score)")
+def schema_composition(spark, d):
+    return sc.composition_scores(schema(spark))
+
+
+@query("SELECT 'http://e/v1/' AS namespace, 1 AS n")
+def schema_namespace(spark, d):
+    return sc.domain_namespaces(schema(spark))
+
+
+@query("SELECT * FROM (VALUES ('Map', 'format', 2), ('Map', 'length', 0), ('Scene', 'format', 2), ('Scene', 'uses', 0), ('Scene', 'low', 0)) v(domain, label, allowed)")
+def schema_term_cards(spark, d):
+    return sc.term_cards(schema(spark)).select("domain", F.get("labels", F.lit(0)).alias("label"), F.size("allowed_values").alias("allowed"))
+
+
+@query("SELECT * FROM (VALUES ('http://e/v1/Kind', 'osm')) v(class, value)")
+def schema_one_of_drift(spark, d):
+    return sc.one_of_drift(schema(spark))
+
+
+@query("SELECT * FROM (VALUES ('urn:s:format/lanelet', 'lanelet'), ('urn:s:format/xodr', 'xodr')) v(s, o)")
+def schema_skos_export(spark, d):
+    return sc.concepts_of_enumerations(schema(spark), "urn:s:").where("p like '%prefLabel'").select("s", "o")

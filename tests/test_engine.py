@@ -162,3 +162,14 @@ def test_token_match_grades(spark):
 
     rows = spark.createDataFrame([("road", "road"), ("road", "roadway"), ("motorway", "motorways"), ("abc", "xyz")], "a string, b string")
     assert [round(r[0], 3) for r in rows.select(tx.token_match(F.col("a"), F.col("b"))).collect()] == [1.0, 0.7, 0.7, 0.0]
+
+
+def test_graphql_round_trip():
+    from facetgraph import graphql as gq
+
+    slots = parse_slots({"domains": ["orders"], "filters": {"status": ["F", "O"], "x-y": 'say "hi"'}, "ranges": {"total": {"min": 5, "max": 7.5}}, "references": [{"domain": "customer", "label": "ann", "filters": {"region": "ASIA"}, "references": [{"domain": "nation"}]}]})
+    assert canonical(gq.parse(gq.serialize(slots), {"x_y": "x-y"})) == canonical(slots)
+    for bad in ("query { ...f }", "{ a(x: $v) { name } }", "{ a { name }", "{ a(x: {over: 1}) { name } }", "{ }"):
+        with pytest.raises(gq.GraphqlError):
+            gq.parse(bad)
+    assert "type Customer { name: String! nation: Nation }" in gq.schema_text(lifted_catalog())
