@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +23,8 @@ from facetgraph.llm.common import written
 from facetgraph.llm.graph import components
 
 WIDTH = 5
-#: Signature: BANDS bands of ROWS coordinates. A pair of similarity 0.8 shares no band with a chance of 5e-8.
-BANDS, ROWS = 32, 4
+#: Signature: BANDS bands of ROWS coordinates. A pair of similarity 0.8 shares no band with a chance of 2e-6.
+BANDS, ROWS = 25, 4
 COORDINATES = BANDS * ROWS
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,40 +202,64 @@ def small_bucket_pairs(shared: DataFrame, whole: int, similarity: float) -> Data
     return pairs.where(_fits(similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def leader_pairs(big: DataFrame, open_rows: DataFrame, whole: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """bucket, leader, and each leader with all the other nodes of its buckets, as (a, b), a < b.
+def first_pairs(shared: DataFrame, whole: int, similarity: float) -> DataFrame:
+    """For each node of large buckets one pair: with the least node that it meets in any of them."""
+    big = shared.where(F.col("size") > whole)
+    least = big.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("x")).withColumnRenamed("bucket", "k")
+    met = big.join(least, F.col("bucket") == F.col("k")).groupBy("node", "n").agg(F.min("x").alias("x"))
+    pairs = met.select("x", F.struct("node", "n").alias("y")).where(F.col("x.node") < F.col("y.node"))
+    return pairs.where(_fits(similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def label(big: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components as yet, with the component of each row's node."""
+    roots = components(links).withColumnRenamed("node", "c")
+    rows = big.join(roots, F.col("node") == F.col("c"), "left").withColumn("root", F.coalesce("root", "node")).drop("c")
+    mixed = rows.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select(F.col("bucket").alias("k"))
+    return written(rows.join(mixed, F.col("bucket") == F.col("k"), "left_semi"), "mixed")
+
+
+def leader_pairs(mixed: DataFrame, open_rows: DataFrame, leaders: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Leaders (at, x, root), and each with the nodes of other components in its bucket, as (a, b), a < b.
 
-    A bucket's leader is its least open node; where at most ``whole`` nodes are open, all of them lead at once.
+    A bucket's leaders are its ``leaders`` least open nodes, one a component.
     """
-    left = open_rows.groupBy("bucket").agg(F.count("*").alias("left"), F.min("node").alias("least")).withColumnRenamed("bucket", "k")
-    lead = open_rows.join(left, F.col("bucket") == F.col("k")).where((F.col("left") <= whole) | (F.col("node") == F.col("least")))
-    lead = written(lead.select(F.col("bucket").alias("at"), F.struct("node", "n").alias("x")), "leaders")
-    met = big.select("bucket", F.struct("node", "n").alias("y")).join(lead, F.col("bucket") == F.col("at")).where((F.col("x.node") != F.col("y.node")) & _fits(similarity))
+    one = open_rows.groupBy("bucket", "root").agg(F.min(F.struct("node", "n")).alias("x"))
+    place = F.row_number().over(W.partitionBy("bucket").orderBy("x"))
+    lead = written(one.withColumn("place", place).where(F.col("place") <= leaders).select(F.col("bucket").alias("at"), "x", F.col("root").alias("of")), "leaders")
+    met = mixed.select("bucket", "root", F.struct("node", "n").alias("y")).join(lead, F.col("bucket") == F.col("at")).where((F.col("root") != F.col("of")) & _fits(similarity))
     return lead, met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def all_links(rows: DataFrame, nodes: DataFrame, similarity: float, whole: int, broadcast_rows: int) -> DataFrame:
-    """Checked links among nodes that share a bucket.
+    """Checked links, enough of them to connect what links connect.
 
-    Small buckets check all their pairs. In a large one a leader is checked with every node; nodes linked to it are
-    settled, and the next leader is chosen of those that are open, until none is. So a pair goes unchecked only if in
-    every large bucket it shares both its nodes are linked to leaders; work is the bucket's rows times its leaders.
+    Small buckets check all their pairs. In large ones each node is first checked with one other; what that leaves in
+    several components goes on by leaders: one, then 8, 64, ... open nodes of a bucket are each checked with every
+    node of another component, and leaders and what is linked to or in a component with them are settled, until no
+    node is open. A pair stays unchecked only if, in every large bucket that it shares, both its nodes were settled by
+    other leaders. Work is the rows of a bucket times the components in it.
     """
     shared = shared_buckets(nodes)
     sets = shingle_sets(rows, nodes, shared, broadcast_rows)
-    links = [written(check(small_bucket_pairs(shared, whole, similarity), sets, similarity), "links")]
+    pairs = small_bucket_pairs(shared, whole, similarity).unionByName(first_pairs(shared, whole, similarity)).distinct()
+    links = written(check(pairs, sets, similarity), "checked")
     big = shared.where(F.col("size") > whole)
-    open_rows = big
+    if big.isEmpty():
+        return links
+    mixed = label(big, links)
+    open_rows, leaders, found = mixed, 1, [links]
     while not open_rows.isEmpty():
-        lead, pairs = leader_pairs(big, open_rows, whole, similarity)
-        fresh = written(check(pairs, sets, similarity), "links")
-        links.append(fresh)
+        lead, pairs = leader_pairs(mixed, open_rows, leaders, similarity)
+        fresh = written(check(pairs, sets, similarity), "checked")
+        found.append(fresh)
         both = fresh.unionByName(fresh.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        led = lead.select("at", F.col("x.node").alias("leader"))
-        settled = led.join(both, F.col("leader") == F.col("a")).select("at", F.col("b").alias("done")).unionByName(led.withColumnRenamed("leader", "done")).distinct()
-        open_rows = written(open_rows.join(settled, (F.col("bucket") == F.col("at")) & (F.col("node") == F.col("done")), "left_anti"), "open")
-    out = links[0]
-    for more in links[1:]:
+        linked = lead.join(both, F.col("x.node") == F.col("a")).select("at", F.col("b").alias("done")).distinct()
+        rest = open_rows.join(lead.select("at", "of"), (F.col("bucket") == F.col("at")) & (F.col("root") == F.col("of")), "left_anti")
+        open_rows = written(rest.join(linked, (F.col("bucket") == F.col("at")) & (F.col("node") == F.col("done")), "left_anti"), "open")
+        leaders *= 8
+    out = found[0]
+    for more in found[1:]:
         out = out.unionByName(more)
     return out
 
