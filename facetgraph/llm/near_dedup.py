@@ -234,11 +234,11 @@ def leader_pairs(mixed: DataFrame, open_rows: DataFrame, leaders: int, similarit
 def all_links(rows: DataFrame, nodes: DataFrame, similarity: float, whole: int, broadcast_rows: int) -> DataFrame:
     """Checked links, enough of them to connect what links connect.
 
-    Small buckets check all their pairs. In large ones each node is first checked with one other; what that leaves in
-    several components goes on by leaders: one, then 8, 64, ... open nodes of a bucket are each checked with every
-    node of another component, and leaders and what is linked to or in a component with them are settled, until no
-    node is open. A pair stays unchecked only if, in every large bucket that it shares, both its nodes were settled by
-    other leaders. Work is the rows of a bucket times the components in it.
+    Small buckets check all their pairs. In large ones each node is first checked with one other. Buckets that still
+    hold several components go on by leaders: of the components of which no node has led in the bucket, some have
+    their least node checked with every node of the others, and components are found anew, until every component has
+    led or the bucket is one. A pair stays unchecked only if, in every large bucket that it shares, both its nodes
+    are in components that other nodes led. Work is the rows of a bucket times the components in it.
     """
     shared = shared_buckets(nodes)
     sets = shingle_sets(rows, nodes, shared, broadcast_rows)
@@ -247,21 +247,21 @@ def all_links(rows: DataFrame, nodes: DataFrame, similarity: float, whole: int,
     big = shared.where(F.col("size") > whole)
     if big.isEmpty():
         return links
-    mixed = label(big, links)
-    open_rows, leaders, found = mixed, 1, [links]
-    while not open_rows.isEmpty():
+    led, leaders = None, 1
+    while True:
+        mixed = label(big, links)
+        open_rows = mixed
+        if led is not None:
+            done = mixed.join(led, (F.col("bucket") == F.col("at")) & (F.col("node") == F.col("leader"))).select("at", F.col("root").alias("of")).distinct()
+            open_rows = mixed.join(done, (F.col("bucket") == F.col("at")) & (F.col("root") == F.col("of")), "left_anti")
+        if open_rows.isEmpty():
+            return links
         lead, pairs = leader_pairs(mixed, open_rows, leaders, similarity)
-        fresh = written(check(pairs, sets, similarity), "checked")
-        found.append(fresh)
-        both = fresh.unionByName(fresh.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        linked = lead.join(both, F.col("x.node") == F.col("a")).select("at", F.col("b").alias("done")).distinct()
-        rest = open_rows.join(lead.select("at", "of"), (F.col("bucket") == F.col("at")) & (F.col("root") == F.col("of")), "left_anti")
-        open_rows = written(rest.join(linked, (F.col("bucket") == F.col("at")) & (F.col("node") == F.col("done")), "left_anti"), "open")
-        leaders *= 8
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        fresh = check(pairs, sets, similarity).join(links, ["a", "b"], "left_anti")
+        links = written(links.unionByName(fresh), "checked")
+        now = lead.select("at", F.col("x.node").alias("leader"))
+        led = now if led is None else led.unionByName(now)
+        leaders *= 4
 
 
 def near_duplicates(
