@@ -136,20 +136,24 @@ class LoserTree:
             self.winner = i
 
 
-def _decide(pages: DataFrame, smallest: int) -> DataFrame:
+def _decide(pages: DataFrame, smallest: int, broadcast_rows: int) -> DataFrame:
     """page_id, url, payload, size, sha1, refers_to, revisit of every row.
 
     Of equal payloads of at least ``smallest`` bytes the least page_id is the response. Hot payloads are counted
-    before they meet; the payloads themselves are joined by page_id, which no payload makes hot. Repeated rows of the
-    least page_id are one response, with the least URL, and revisits.
+    before they meet. Only pages that aren't the one response of their payload have a decision; up to
+    ``broadcast_rows`` of them go to the pages, beyond that pages are joined by page_id, which no payload makes hot.
+    Repeated rows of the least page_id are one response, with the least URL, and revisits.
     """
     key = pages.groupBy("page_id", "sha1").agg(F.count("*").alias("copies"), F.max("size").alias("size"))
     big = key.where(F.col("size") >= smallest)
     first = big.groupBy("sha1").agg(F.min("page_id").alias("first"))
     same = F.col("d.page_id").eqNullSafe(F.col("p.page_id")) & (F.col("d.sha1") == F.col("p.sha1"))
     decision = big.join(first, "sha1").select("page_id", "sha1", "copies", "first")
+    decision = written(decision.where(~F.col("page_id").eqNullSafe(F.col("first")) | (F.col("copies") > 1)), "decisions")
+    if decision.count() <= broadcast_rows:
+        decision = F.broadcast(decision)  # at most broadcast_rows rows of under 100 bytes
     joined = pages.alias("p").join(decision.alias("d"), same, "left").select("p.*", "d.copies", "d.first")
-    is_first = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
+    is_first = F.col("copies").isNull() | F.col("page_id").eqNullSafe(F.col("first"))
     several = is_first & (F.coalesce(F.col("copies"), F.lit(1)) > 1)
     single = joined.where(~several).select("page_id", "url", "payload", "size", "sha1", F.when(~is_first, F.col("first")).alias("refers_to"), (~is_first).alias("revisit"))
     repeated = joined.where(several)
@@ -274,7 +278,7 @@ def merge_runs(runs: DataFrame, per_range: int, count: int) -> DataFrame:
 
 
 def archive_pages(
-    pages: DataFrame, *, page_id: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None, smallest: int = 0, archive_bytes: int = 16 << 20, level: int = 6, per_range: int = 50_000
+    pages: DataFrame, *, page_id: str = "page_id", url: str = "url", payload: str = "html", captured: Column | None = None, smallest: int = 0, archive_bytes: int = 16 << 20, level: int = 6, per_range: int = 50_000, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """Writes every row as a WARC record, reads the archives back and returns all captures in global order.
 
@@ -290,7 +294,7 @@ def archive_pages(
     rows = rows.withColumn("size", F.octet_length("payload").cast("bigint")).withColumn("sha1", F.sha1("payload"))
     time = captured if captured is not None else F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(10**9))
     folder = new_folder(spark, "warc")
-    records = _decide(rows, smallest).withColumn("captured", time.cast("bigint")).sortWithinPartitions(F.col("page_id"), "revisit", "url")
+    records = _decide(rows, smallest, broadcast_rows).withColumn("captured", time.cast("bigint")).sortWithinPartitions(F.col("page_id"), "revisit", "url")
     archives = write_archives(records, folder, archive_bytes, level)
     if archives.isEmpty():
         return spark.createDataFrame([], T.StructType([*CAPTURES.fields, T.StructField("history_range", T.LongType()), T.StructField("history_position", T.LongType())]))
