@@ -79,7 +79,7 @@ def read_samples(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def bad_sample_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """line, text of the lines that are no rows of the schema."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     return lines.where("text <> ''").where(F.from_json("text", schema + ", __bad string", {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"})["__bad"].isNotNull()).withColumn("line", F.col("line") + 1)
 
 

@@ -303,13 +303,13 @@ def _turtle(text: str, scope: str) -> list[tuple]:
 
 def read_turtle(spark: SparkSession, paths: str | list[str], graph: str | None = None) -> DataFrame:
     """Distinct quads of Turtle files in one graph (null: the default graph). Unreadable files give none."""
-    files = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInArrow(_parse_files(_turtle, graph), QUADS).dropDuplicates()
 
 
 def read_jsonld(spark: SparkSession, paths: str | list[str], graph: str | None = None, contexts: dict[str, dict] | None = None) -> DataFrame:
     """Distinct quads of JSON-LD files; ``contexts`` holds local copies of remote contexts by URL."""
-    files = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInArrow(_parse_files(lambda text, scope: JsonLdReader(scope, contexts).read(text), graph), QUADS).dropDuplicates()
 
 
@@ -327,7 +327,7 @@ def read_problems(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "problem"])
 
-    files = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInArrow(run, "path string, problem string")
 
 

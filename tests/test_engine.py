@@ -85,7 +85,7 @@ def test_jsonld_contexts_by_url():
 
 
 def test_turtle_files(spark, tmp_path):
-    (tmp_path / "a.ttl").write_text("<urn:a> <urn:p> 1 . <urn:a> <urn:p> 1 .")
+    (tmp_path / "a.ttl").write_text("<urn:a>\n  <urn:p> 1 .\n<urn:a> <urn:p> 1 .")
     (tmp_path / "b.ttl").write_text("<urn:a> <urn:p> .")
     assert rdf.read_turtle(spark, str(tmp_path)).count() == 1
     assert rdf.read_problems(spark, str(tmp_path)).count() == 1
@@ -127,7 +127,7 @@ def test_cache_and_bucket():
 def test_service_remembers_by_request(spark):
     nation = spark.createDataFrame([(1, "N", 0)], "n_nationkey int, n_name string, n_regionkey int")
     service = SearchService(spark, lifted_catalog(), {"nation": nation}.__getitem__)
-    assert service.refine({"domains": ["nation"]}) is service.refine('{"domains": ["Nation"], "filters": {"x": ""}}') or True
+    assert service.refine({"domains": ["nation"]}) is service.refine('{"domains": ["nation"], "filters": {"x": ""}}')
     assert service.refine({"domains": ["nation"]}).rows.count() == 1
     assert service.refine({"domains": ["nation"]}).counts.first()["n"] == 1
 
@@ -145,8 +145,8 @@ def test_samples_cite_bad_lines(spark, tmp_path):
 def test_csv_export_hides_and_defuses(spark, tmp_path):
     rows = spark.createDataFrame([("=1+1", "x", 5)], "a string, ref_step_1 string, b int")
     fl.export_csv(rows, str(tmp_path / "out"))
-    text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
-    assert text == '"a","b"\n"\'=1+1","5"\n'
+    lines = {line for p in (tmp_path / "out").glob("part-*") for line in p.read_text().splitlines()}
+    assert lines == {'"a","b"', '"\'=1+1","5"'}
 
 
 def test_roads_and_lanes(spark):
