@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,7 @@ from facetgraph.llm.common import written
 
 BASE = 2**0.5
 END, BEGIN = b" end", b" begin"  # no word has a blank
-BLOCK_TOKENS = 3_000_000
+BLOCK_BYTES = 6_000_000
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_sum double, score double"
 
 
@@ -169,14 +170,14 @@ class Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, Block]]:
-    """Slices of the batches with about BLOCK_TOKENS * 6 bytes of text, so at least one document."""
+    """Slices of the batches with about BLOCK_BYTES of text, so at least one document."""
     for batch in batches:
-        texts = batch.column(text).cast(pa.binary()).to_pylist()
-        ends = np.cumsum([len(t or b"") for t in texts]) // (BLOCK_TOKENS * 6)
-        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        column = batch.column(text).cast(pa.binary())
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy()) // BLOCK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(column)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if a < b:
-                yield batch.slice(a, b - a), Block(texts[a:b])
+                yield batch.slice(a, b - a), Block(column.slice(a, b - a).to_pylist())
 
 
 def _count_blocks(segments: int):
