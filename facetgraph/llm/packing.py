@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,81 +31,78 @@ PIECES = T.StructType(
         T.StructField("salt", T.LongType()),
     ]
 )
+_MARKS = frozenset(".,;:!?")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The alphabet of byte-level vocabularies: printable Latin-1 stands for itself, other bytes for 256 and up."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class ChunkEncoder:
     """Token ids of whole texts as little-endian uint32 bytes.
 
     Neither the tokenizer's normalizer nor its pre-tokenizer looks across a blank, so a text's ids are those of its
-    blank-separated chunks in order. Ids of chunks are remembered, at most ``entries`` of them, and unknown chunks go
-    to the tokenizer together. Plain chunks (ASCII, or letters of Latin-1) are looked up by their letter runs; any
-    other chunk is given to the tokenizer as it stands. Tokens that end a run carry ``</w>``, which tells where one
-    run's ids end in a batch.
+    blank-separated chunks in order. Ids of chunks are remembered, at most ``entries`` of them. Printable Latin-1
+    chunks, which normalizing only lower-cases, are cut into the pre-tokenizer's runs here, and the tokenizer's model
+    is asked for each new run; any other chunk is given to the whole tokenizer as it stands.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.entries = entries
         self.chunks: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
-    def _encode_runs(self, runs: list[str]) -> None:
-        for at in range(0, len(runs), 4096):
-            part = runs[at : at + 4096]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):  # a run that isn't one pre-token: each by itself
-                for run in part:
-                    self.runs[run] = self._alone(run)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for run, stop in zip(part, (stops * 4).tolist(), strict=True):
-                self.runs[run] = raw[begin:stop]
-                begin = stop
-
-    def _alone(self, chunk: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, missing: set[str]) -> None:
-        if len(self.chunks) + len(missing) > self.entries:
-            self.chunks.clear()
-        if len(self.runs) > self.entries:
-            self.runs.clear()
-        plain: dict[str, list[str]] = {}
-        for chunk in missing:
-            if not chunk:
-                self.chunks[chunk] = b""
-            elif max(chunk) < "Ā" and "<|" not in chunk and chunk.isprintable():
-                plain[chunk] = _SPLIT.findall(chunk.lower())
-            else:
-                self.chunks[chunk] = self._alone(chunk)
-        new = list({run for runs in plain.values() for run in runs if run not in self.runs})
-        self._encode_runs(new)
-        for chunk, runs in plain.items():
-            self.chunks[chunk] = b"".join([self.runs[run] for run in runs])
+    def _run(self, run: str) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            spelt = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            ids = self.runs[run] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        lower = chunk.lower()
+        if chunk.isascii() or max(chunk) < "Ā":
+            if lower.isalpha():
+                return self._run(lower)
+            if lower[-1] in _MARKS and lower[:-1].isalpha():
+                return self._run(lower[:-1]) + self._run(lower[-1])
+            if chunk.isprintable() and "<|" not in chunk:
+                return b"".join(map(self._run, _SPLIT.findall(lower)))
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.split(" ") if text else []
-            if text and ("\n" in text or "\t" in text):
-                words = text.replace("\n", " ").replace("\t", " ").split(" ")
-            try:
-                yield b"".join([self.chunks[w] for w in words])
-            except KeyError:
-                known = self.chunks
-                self.learn({w for w in words if w not in known} | {""})
-                if any(w not in self.chunks for w in words):  # emptied meanwhile
-                    self.learn(set(words))
-                yield b"".join([self.chunks[w] for w in words])
+        """The texts' ids, in order; new chunks of about a million characters of text are looked up together."""
+        ends = np.cumsum([len(t or "") for t in texts]) // 1_000_000
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
+            lists = [_words(texts[i]) for i in part]
+            missing = set().union(*lists).difference(self.chunks)
+            if len(self.chunks) + len(missing) > self.entries:
+                self.chunks.clear()
+                self.runs.clear()
+                missing = set().union(*lists)
+            chunks = self.chunks
+            for chunk in missing:
+                chunks[chunk] = self._chunk(chunk)
+            for words in lists:
+                yield b"".join([chunks[w] for w in words])
+
+
+def _words(text: str | None) -> list[str]:
+    """Chunks between blanks and line ends; what else is white space stays inside and is the tokenizer's to drop."""
+    return text.replace("\n", " ").split(" ") if text else []
 
 
 def encoder(path: str) -> ChunkEncoder:
