@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 
 from facetgraph.llm.common import GAP, written
 
-TABLE_BITS = 12
 #: ln a is kept as a 31-bit number: offset, then steps of 2**-24.
 OFFSET, STEPS = 64.0, float(1 << 24)
 
 
+TABLE_BITS = 12
+
+
 def gamma2_quantile(p: float) -> float:
     """x with 1 - (1 + x) exp(-x) = p, by bisection."""
     low, high = 0.0, 64.0
@@ -31,11 +33,10 @@ def gamma2_quantile(p: float) -> float:
 
 
 @lru_cache(1)
-def gamma_tables() -> tuple[list[float], list[float]]:
-    """Gamma(2, 1) at the middles of equal parts of probability: 1 / r and ln c."""
+def gamma_table() -> list[float]:
+    """Gamma(2, 1) at the middles of equal parts of probability, 2 ** TABLE_BITS of them."""
     n = 1 << TABLE_BITS
-    values = [gamma2_quantile((j + 0.5) / n) for j in range(n)]
-    return values, [math.log(v) for v in values]
+    return [gamma2_quantile((j + 0.5) / n) for j in range(n)]
 
 
 def term_weight(word: Column, count: Column) -> Column:
@@ -44,35 +45,43 @@ def term_weight(word: Column, count: Column) -> Column:
     return count.cast("double") * (F.lit(0.25) + extra * extra)
 
 
-def sample_columns(term: Column, log_weight: Column, samples: int) -> list[Column]:
-    """One bigint for each sample: ln a in the upper bits, term and t in the lower 32; the least is the sample."""
-    values, logs = gamma_tables()
+def sample(x: Column, log_weight: Column, gamma: Column, log_gamma: Column) -> Column:
+    """One bigint from the term's hash x for a sample: ln a in the upper bits, term and t in the lower 32.
+
+    The least over a text's terms is the sample. Gamma variates are read off the table by 12 bits of x each, which is
+    many times faster than their logarithms; the other bits give b.
+    """
     mask = (1 << TABLE_BITS) - 1
-    table_r, table_c = F.array(*map(F.lit, values)), F.array(*map(F.lit, logs))
-    out = []
-    for i in range(samples):
-        x = F.xxhash64(term, F.lit(i))
-        r = F.get(table_r, x.bitwiseAND(F.lit(mask)).cast("int"))
-        c = F.get(table_c, F.shiftrightunsigned(x, TABLE_BITS).bitwiseAND(F.lit(mask)).cast("int"))
-        b = F.shiftrightunsigned(x, 2 * TABLE_BITS).bitwiseAND(F.lit((1 << 20) - 1)) / float(1 << 20)
-        t = F.floor(log_weight / r + b)
-        log_a = c - r * (t.cast("double") - b + 1)
-        place = F.least(F.greatest((log_a + OFFSET) * STEPS, F.lit(0.0)), F.lit(2.0**31 - 1)).cast("bigint")
-        kept = (F.shiftrightunsigned(x, 32) + t * 2654435761).bitwiseAND(F.lit(0xFFFFFFFF))
-        out.append(F.min(F.shiftleft(place, 32).bitwiseOR(kept)).alias(f"s{i}"))
-    return out
-
-
-def fingerprints(texts: DataFrame, keys: list[str], text: str, samples: int = 64) -> DataFrame:
+    r = F.get(gamma, x.bitwiseAND(F.lit(mask)).cast("int"))
+    c = F.get(log_gamma, F.shiftrightunsigned(x, TABLE_BITS).bitwiseAND(F.lit(mask)).cast("int"))
+    b = F.shiftrightunsigned(x, 2 * TABLE_BITS).bitwiseAND(F.lit((1 << 20) - 1)) / float(1 << 20)
+    t = F.floor(log_weight / r + b)
+    log_a = c - r * (t - b + 1)
+    place = ((log_a + OFFSET) * STEPS).cast("bigint")
+    kept = (F.shiftrightunsigned(x, 32) + t * 2654435761).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(place, 32).bitwiseOR(kept)
+
+
+def fingerprints(texts: DataFrame, keys: list[str], text: str, samples: int = 64, width: int = 8) -> DataFrame:
     """keys and sig (array of ``samples`` 32-bit numbers) of texts, one row for each key with a word in its text.
 
     ``keys`` must identify the rows. If texts are already dealt out by some of the keys, nothing is shuffled.
     """
+    spark = texts.sparkSession
+    values = gamma_table()
+    tables = spark.createDataFrame([(values, [math.log(v) for v in values])], "gamma array<double>, log_gamma array<double>")
     words = texts.select(*keys, F.explode(F.split(text, GAP)).alias("word")).where("word <> ''")
     terms = words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    terms = terms.select(*keys, F.xxhash64("word").alias("term"), F.log(term_weight(F.col("word"), F.col("n"))).alias("log_weight"))
-    kept = terms.groupBy(*keys).agg(*sample_columns(F.col("term"), F.col("log_weight"), samples))
-    return kept.select(*keys, F.array(*[F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(samples)]).alias("sig"))
+    # the tables are scalar subqueries: one constant each, however many samples read it
+    terms = terms.select(*keys, F.xxhash64("word").alias("term"), F.log(term_weight(F.col("word"), F.col("n"))).alias("log_weight"), tables.select("gamma").scalar().alias("gamma"), tables.select("log_gamma").scalar().alias("log_gamma"))
+    # a few samples a row keep the generated method small enough for the JIT compiler, which skips long ones
+    lanes = terms.withColumn("lane", F.explode(F.array(*[F.lit(i) for i in range(-(-samples // width))])))
+    hashed = lanes.select(*keys, "lane", "log_weight", "gamma", "log_gamma", *[F.xxhash64("term", F.col("lane") * width + i).alias(f"x{i}") for i in range(width)])
+    least = [F.min(sample(F.col(f"x{i}"), F.col("log_weight"), F.col("gamma"), F.col("log_gamma"))).alias(f"s{i}") for i in range(width)]
+    kept = hashed.groupBy(*keys, "lane").agg(*least)
+    part = F.struct("lane", F.array(*[F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(width)]).alias("s"))
+    parts = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("p"))
+    return parts.select(*keys, F.slice(F.flatten("p.s"), 1, samples).alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
