@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,9 +22,11 @@ from facetgraph.llm.common import written
 from facetgraph.llm.graph import components
 
 WIDTH = 5
-#: Signature: BANDS bands of ROWS coordinates. A pair of similarity 0.8 shares no band with a chance of 2e-6.
-BANDS, ROWS = 25, 4
+#: Signature: BANDS bands of ROWS coordinates. A pair of similarity 0.8 shares no band with a chance of 5e-8.
+BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
+#: Counters by which shingles are put in order, rare ones first; shingles that share a counter cost time alone.
+SLOTS = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,26 +220,70 @@ def label(big: DataFrame, links: DataFrame) -> DataFrame:
     return written(rows.join(mixed, F.col("bucket") == F.col("k"), "left_semi"), "mixed")
 
 
-def leader_pairs(mixed: DataFrame, open_rows: DataFrame, leaders: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Leaders (at, x, root), and each with the nodes of other components in its bucket, as (a, b), a < b.
+def leader_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
+    """The least node of each bucket with the bucket's nodes of other components, as (a, b), a < b."""
+    lead = mixed.groupBy(F.col("bucket").alias("at")).agg(F.min(F.struct("node", "n", "root")).alias("x"))
+    met = mixed.select("bucket", "root", F.struct("node", "n").alias("y")).join(lead, F.col("bucket") == F.col("at")).where((F.col("root") != F.col("x.root")) & _fits(similarity))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
-    A bucket's leaders are its ``leaders`` least open nodes, one a component.
+
+def prefixes(own: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """node, root, n, key, place, short: of each set (node, root, s) the first shingles, those of rare counters first.
+
+    With A the sizes' smaller set and B the larger, sets of the similarity share at least similarity * |B| and
+    2 * similarity / (1 + similarity) * |A| shingles, so one of the first |B| - similarity * |B| + 1 of B is among the
+    first |A| - 2 * similarity / (1 + similarity) * |A| + 1 of A, the ``short`` ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = part.column(2)
+                n, key = sets.value_lengths().to_numpy(), sets.flatten().to_numpy()
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((key, counts[key % SLOTS], owner))
+                place = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+                long = n - np.ceil(similarity * n - 1e-9) + 1
+                short = n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
+                keep = place < long[owner]
+                owner, key, place = owner[keep], key[order][keep], place[keep]
+                columns = [part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), n[owner].astype(np.int64), key, place.astype(np.int32), place < short[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["node", "root", "n", "key", "place", "short"])
+
+    return own.mapInArrow(run, "node bigint, root bigint, n bigint, key bigint, place int, short boolean")
+
+
+def crossing_pairs(mixed: DataFrame, sets: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
+    """All pairs (a, b), a < b, of different components that can have the similarity, of the nodes in mixed buckets.
+
+    A join of prefixes of the shingles, whatever the bucket: pairs that are left out are under the similarity.
     """
-    one = open_rows.groupBy("bucket", "root").agg(F.min(F.struct("node", "n")).alias("x"))
-    place = F.row_number().over(W.partitionBy("bucket").orderBy("x"))
-    lead = written(one.withColumn("place", place).where(F.col("place") <= leaders).select(F.col("bucket").alias("at"), "x", F.col("root").alias("of")), "leaders")
-    met = mixed.select("bucket", "root", F.struct("node", "n").alias("y")).join(lead, F.col("bucket") == F.col("at")).where((F.col("root") != F.col("of")) & _fits(similarity))
-    return lead, met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    nodes = written(mixed.select(F.col("node").alias("m"), "root").distinct(), "open")
+    if nodes.count() <= broadcast_rows:
+        nodes = F.broadcast(nodes)
+    own = sets.join(nodes, F.col("node") == F.col("m")).select("node", "root", "s")
+    found = own.select(F.explode("s").alias("key")).groupBy(F.pmod("key", F.lit(SLOTS)).alias("slot")).count().toArrow()
+    counts = np.zeros(SLOTS, dtype=np.uint32)
+    counts[found["slot"].to_numpy()] = np.minimum(found["count"].to_numpy(), 0xFFFFFFFF)
+    rows = written(prefixes(own, counts, similarity), "prefixes")
+    several = rows.groupBy(F.col("key").alias("k")).agg((F.min("root") != F.max("root")).alias("several")).where("several").select("k")
+    rows = written(rows.join(several, F.col("key") == F.col("k"), "left_semi"), "crossing")
+    x, y = rows.where("short").alias("x"), rows.alias("y")
+    ordered = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    sized = F.col("x.n") >= F.col("y.n") * similarity - 1e-9
+    # the first shingle that both have: no more than what follows it is shared
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ordered & sized & rest)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def all_links(rows: DataFrame, nodes: DataFrame, similarity: float, whole: int, broadcast_rows: int) -> DataFrame:
     """Checked links, enough of them to connect what links connect.
 
-    Small buckets check all their pairs. In large ones each node is first checked with one other. Buckets that still
-    hold several components go on by leaders: of the components of which no node has led in the bucket, some have
-    their least node checked with every node of the others, and components are found anew, until every component has
-    led or the bucket is one. A pair stays unchecked only if, in every large bucket that it shares, both its nodes
-    are in components that other nodes led. Work is the rows of a bucket times the components in it.
+    Small buckets check all their pairs. In large ones each node is first checked with one other, then, in buckets
+    that still hold several components, with the bucket's least node. Nodes of buckets that hold several components
+    even so are joined by prefixes of their shingles: each pair of different components is checked or can't be a link.
     """
     shared = shared_buckets(nodes)
     sets = shingle_sets(rows, nodes, shared, broadcast_rows)
@@ -247,21 +292,15 @@ def all_links(rows: DataFrame, nodes: DataFrame, similarity: float, whole: int,
     big = shared.where(F.col("size") > whole)
     if big.isEmpty():
         return links
-    led, leaders = None, 1
-    while True:
-        mixed = label(big, links)
-        open_rows = mixed
-        if led is not None:
-            done = mixed.join(led, (F.col("bucket") == F.col("at")) & (F.col("node") == F.col("leader"))).select("at", F.col("root").alias("of")).distinct()
-            open_rows = mixed.join(done, (F.col("bucket") == F.col("at")) & (F.col("root") == F.col("of")), "left_anti")
-        if open_rows.isEmpty():
-            return links
-        lead, pairs = leader_pairs(mixed, open_rows, leaders, similarity)
-        fresh = check(pairs, sets, similarity).join(links, ["a", "b"], "left_anti")
-        links = written(links.unionByName(fresh), "checked")
-        now = lead.select("at", F.col("x.node").alias("leader"))
-        led = now if led is None else led.unionByName(now)
-        leaders *= 4
+    mixed = label(big, links)
+    if mixed.isEmpty():
+        return links
+    links = written(links.unionByName(check(leader_pairs(mixed, similarity), sets, similarity)).distinct(), "checked")
+    mixed = label(mixed.drop("root"), links)
+    if mixed.isEmpty():
+        return links
+    fresh = check(crossing_pairs(mixed, sets, similarity, broadcast_rows), sets, similarity)
+    return written(links.unionByName(fresh).distinct(), "checked")
 
 
 def near_duplicates(

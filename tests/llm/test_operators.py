@@ -252,6 +252,36 @@ def test_large_buckets_go_on_by_leaders(spark):
     assert sorted(map(tuple, got), key=key) == classes(rows)
 
 
+
+def test_links_between_nodes_that_never_led(spark):
+    base = [f"w{i}" for i in range(400)]
+    edited = lambda *places: " ".join("x" + w if i in places else w for i, w in enumerate(base))
+    middle = range(200, 260, 10)
+    a1, a2, c2, c1 = edited(*range(10, 70, 10)), edited(), edited(*middle), edited(*middle, *range(300, 360, 10))
+    texts = [a1, c1, *(letters(500 + i, 60) for i in range(30)), a2, c2]  # a1 and c1 come first, a2 and c2 last
+    last, end = len(texts) - 2, len(texts) - 1
+    sets = [near_dedup.Shingles([t.split()]).key for t in texts]
+    like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    assert min(like(0, last), like(1, end), like(last, end)) >= 0.8 > max(like(0, 1), like(0, end), like(1, last))
+    bands = np.arange(near_dedup.BANDS, dtype=np.int64).tobytes()  # all in the same buckets
+    nodes = spark.createDataFrame([(i, near_dedup.text_key(t.split()), i, len(sets[i]), bands) for i, t in enumerate(texts)], "node bigint, text_key binary, least_id bigint, n bigint, bands binary")
+    links = near_dedup.all_links(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), nodes, 0.8, 24, 500_000)
+    assert {r["node"]: r["root"] for r in components(links).collect()} == dict.fromkeys([0, 1, last, end], 0)
+
+
+def test_prefixes_miss_no_pair(spark):
+    pick = np.random.default_rng(3)
+    family = [set(range(60))]
+    while len(family) < 80:
+        old = family[pick.integers(len(family))]
+        family.append((old - set(pick.choice(sorted(old), 3, replace=False).tolist())) | set(pick.integers(60, 2000, pick.integers(0, 7)).tolist()))
+    sets = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(family)], "node bigint, s array<bigint>")
+    mixed = sets.select("node", F.col("node").alias("root"))
+    found = near_dedup.check(near_dedup.crossing_pairs(mixed, sets, 0.8, 500_000), sets, 0.8)
+    wanted = {(i, j) for j in range(80) for i in range(j) if len(family[i] & family[j]) >= 0.8 * len(family[i] | family[j]) - 1e-9}
+    assert wanted and {tuple(r) for r in found.collect()} == wanted
+
+
 def test_one_row_of_each_class_stays(edge):
     kept = near_dedup.drop_near_duplicates(edge)
     assert kept.columns == edge.columns
