@@ -53,17 +53,42 @@ def closure(edges: DataFrame, reflexive: bool = True, nodes: DataFrame | None =
 
 
 def list_members(rest: DataFrame, first: DataFrame) -> DataFrame:
-    """head, position, value of linked lists: rest is (src, dst) of cells, first is (cell, value)."""
-    cells = closure_with_depth(rest, first.select(F.col("cell").alias("n")))
+    """head, position, value of linked lists of any length: rest is (src, dst) of cells, first is (cell, value).
+
+    Every cell heads the list that begins with it, so a list of n cells gives n * (n + 1) / 2 rows.
+    """
+    heads = first.select(F.col("cell").alias("root")).distinct()
+    after = distances(rest).withColumnRenamed("src", "root").withColumnRenamed("dst", "node").join(heads, "root", "left_semi")
+    cells = after.unionByName(heads.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))
     return cells.join(first, F.col("node") == F.col("cell")).select(F.col("root").alias("head"), F.col("depth").alias("position"), "value")
 
 
-def closure_with_depth(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """root, node, depth: each node reached from a root at its least depth; level by level, seen pairs are left out."""
+def distances(edges: DataFrame) -> DataFrame:
+    """src, dst, depth: least number of steps from each node to each other that it reaches, by doubling.
+
+    A round that knows all of up to n steps joins those of exactly n with all, so about log2(longest) rounds do.
+    """
+    known, length = _cut(edges.select("src", "dst").where("src <> dst").distinct().withColumn("depth", F.lit(1))), 1
+    while True:
+        far = known.where(F.col("depth") == length).select("src", F.col("dst").alias("mid"), F.col("depth").alias("so_far"))
+        on = known.select(F.col("src").alias("mid"), "dst", "depth")
+        longer = far.join(on, "mid").where("src <> dst").groupBy("src", "dst").agg(F.min(F.col("so_far") + F.col("depth")).alias("depth"))
+        fresh = _cut(longer.join(known, ["src", "dst"], "left_anti"))
+        if fresh.isEmpty():
+            return known
+        known, length = known.unionByName(fresh), 2 * length
+
+
+def closure_with_depth(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """root, node, depth: each node reached from a root at its least depth, of all depths or up to ``most``.
+
+    Level by level; seen pairs are left out, so cycles end.
+    """
     front = roots.select(F.col("n").alias("root"), F.col("n").alias("node")).distinct().withColumn("depth", F.lit(0))
     seen = _cut(front)
-    front = seen
-    for depth in range(1, most + 1):
+    front, depth = seen, 0
+    while most is None or depth < most:
+        depth += 1
         reached = front.join(edges.select("src", "dst"), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         front = _cut(reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():

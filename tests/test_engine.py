@@ -164,6 +164,15 @@ def test_token_match_grades(spark):
     assert [round(r[0], 3) for r in rows.select(tx.token_match(F.col("a"), F.col("b"))).collect()] == [1.0, 0.7, 0.7, 0.0]
 
 
+def test_long_lists_and_cycles(spark):
+    rest = spark.createDataFrame([(i, i + 1) for i in range(299)] + [(1000, 1001), (1001, 1002), (1002, 1000)], "src long, dst long")
+    first = spark.createDataFrame([(i, f"v{i}") for i in [*range(300), 1000, 1001, 1002]], "cell long, value string")
+    got = {tuple(r) for r in gr.list_members(rest, first).where("head in (0, 290, 1001)").collect()}
+    assert got == {(0, i, f"v{i}") for i in range(300)} | {(290, i, f"v{290 + i}") for i in range(10)} | {(1001, 0, "v1001"), (1001, 1, "v1002"), (1001, 2, "v1000")}
+    deep = gr.closure_with_depth(rest.where("src < 70"), spark.createDataFrame([(0,)], "n long"))
+    assert deep.count() == 71
+
+
 def test_graphql_round_trip():
     from facetgraph import graphql as gq
 
