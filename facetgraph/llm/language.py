@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITS = 16
+#: Letters in a chain position at most: longer runs, as of scripts without blanks, are several positions.
+PIECE = 48
 PREDICTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_switches", T.LongType())])
 
 
@@ -26,6 +28,19 @@ def core(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
+def word_pieces(text: str | None) -> list[str]:
+    """The words of a text in order; one of over PIECE letters as even pieces of its letters, none left out."""
+    words = (text or "").split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    out: list[str] = []
+    for word in words:
+        letters = core(word) if len(word) > PIECE else ""
+        count = -(-len(letters) // PIECE)
+        out += [letters[i * len(letters) // count : (i + 1) * len(letters) // count] for i in range(count)] if count > 1 else [word]
+    return out
+
+
 def word_features(letters: str, lexicon: dict[str, int] | set[str]) -> list[int]:
     """Hashed prefixes and suffixes of 1 to 3, inner 2- and 3-grams, and the word itself if the lexicon has it."""
     raw = letters.encode()
@@ -35,7 +50,7 @@ def word_features(letters: str, lexicon: dict[str, int] | set[str]) -> list[int]
         out.append(crc(b"p" + letters[:k].encode()) & mask)
         out.append(crc(b"s" + letters[-k:].encode()) & mask)
     for k in (2, 3):
-        out += [crc(letters[i : i + k].encode()) & mask for i in range(min(len(letters), 48) - k + 1)]
+        out += [crc(letters[i : i + k].encode()) & mask for i in range(len(letters) - k + 1)]
     return out
 
 
@@ -145,7 +160,7 @@ def fit_crf(samples: list[tuple[str, str]], *, length: int = 64, epochs: int = 3
     stretches, seen = [], Counter()
     rng = np.random.default_rng(seed)
     for text, lang in samples:
-        cores = [c for c in map(core, text.split()) if c]
+        cores = [c for c in map(core, word_pieces(text)) if c]
         seen.update(set(cores))
         at = 0
         while at < len(cores):
@@ -218,6 +233,7 @@ def predict_language(docs: DataFrame, model: CrfModel, *, doc_id: str = "doc_id"
     """doc_id, lang_pred, score, n_switches for every row, from its whole text alone.
 
     A text's language is the one with most of its letters, by the words' marginal probabilities; score is its share.
+    All letters count; words of over PIECE letters are several positions, so a run without blanks can change language.
     ``und`` and 0 for null and letterless texts, and for all texts if nothing was learned. Repeated rows and null ids
     pass through; other columns are not read; an empty table gives no rows. ``keep_rows`` gives the
     whole row as a struct, ``row``, in place of doc_id. No shuffle.
@@ -231,7 +247,7 @@ def predict_language(docs: DataFrame, model: CrfModel, *, doc_id: str = "doc_id"
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                texts = [(t or "").split() for t in part.column(1).to_pylist()]
+                texts = [word_pieces(t) for t in part.column(1).to_pylist()]
                 if model.labels:
                     best, share, switches = model.predict(texts)
                 else:

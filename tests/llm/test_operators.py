@@ -444,6 +444,15 @@ def test_languages_on_edge_rows(edge, empty):
     assert language.predict_language(empty, model).count() == 0
 
 
+def test_all_letters_of_a_run_count():
+    model = language.fit_crf([(letters(i, 200), "a") for i in range(10)] + [(letters(i, 200).translate(str.maketrans("abcdefghij", "qrstuvwxyz")), "z") for i in range(10)])
+    front, rest = letters(50, 10).replace(" ", "")[:48], letters(51, 2000).replace(" ", "").translate(str.maketrans("abcdefghij", "qrstuvwxyz"))
+    assert "".join(language.word_pieces(f"{front}-{rest} 12 {front}")) == f"{front}{rest}12{front}"
+    best, share, switches = model.predict([language.word_pieces(front + rest), language.word_pieces(rest), ["-" * 60]])
+    assert [model.labels[i] for i in best[:2]] == ["z", "z"] and best[2] == -1
+    assert abs(share[0] - len(rest) / len(front + rest)) < 0.01 and switches.tolist()[:2] == [1, 0]
+
+
 # 10
 
 
