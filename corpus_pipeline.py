@@ -6,12 +6,13 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetgraph.llm.common import held_out, written
+from facetgraph.llm.common import held_out, table, written
 from facetgraph.llm.language import predict_language, train_language_model
-from facetgraph.llm.mixing import cut_to_mix, mix_sources
+from facetgraph.llm.mixing import cut_to_mix, label_quality, mix_sources
 from facetgraph.llm.near_dedup import drop_near_duplicates
 from facetgraph.llm.packing import pack_documents
 
@@ -32,8 +33,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the one a source's budget ends in is cut to the words taken."""
-    return cut_to_mix(docs, mix_sources(docs))
+    """Each document as often as the mix takes it; the one a source's budget ends in is cut to the words taken.
+
+    Documents that labels call good are drawn first more often, bad ones less; without labels all weigh the same.
+    """
+    try:
+        quality = label_quality(table(spark, sf_dir, "labels"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        quality = None
+    return cut_to_mix(docs, mix_sources(docs, quality=quality, plain_quality=2.0))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,13 @@ def uniform(*columns: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def label_quality(labels: DataFrame) -> DataFrame:
+    """doc_id, weight of each labelled document: 4 where all its labels call it good, 1 where none does, else 2."""
+    good = F.avg("quality")
+    weight = F.when(good == 1, 4.0).when(good == 0, 1.0).otherwise(2.0)
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(weight.alias("weight"))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ceiling: float = 3) -> DataFrame:
     """source, source_size -> the same with target.
 

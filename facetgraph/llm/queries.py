@@ -14,7 +14,7 @@ from facetgraph.llm.common import held_out, table
 from facetgraph.llm.fingerprint import fingerprint_edits
 from facetgraph.llm.language import predict_language, train_language_model
 from facetgraph.llm.lm_score import score_documents
-from facetgraph.llm.mixing import mix_sources
+from facetgraph.llm.mixing import label_quality, mix_sources
 from facetgraph.llm.near_dedup import near_duplicates
 from facetgraph.llm.packing import pack_documents
 from facetgraph.llm.token_counts import count_tokens
@@ -36,15 +36,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One weight a labelled document: 4 where all its labels call it good, 1 where none does, else 2."""
-    good = F.avg("quality")
-    weight = F.when(good == 1, 4.0).when(good == 0, 1.0).otherwise(2.0)
-    return table(spark, sf_dir, "labels").where("doc_id is not null").groupBy("doc_id").agg(weight.alias("weight"))
-
-
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"), quality=label_quality(spark, sf_dir), plain_quality=2.0)
+    mixed = mix_sources(table(spark, sf_dir, "documents"), quality=label_quality(table(spark, sf_dir, "labels")), plain_quality=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
