@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetgraph.llm.common import written
+
 
 @dataclass(frozen=True)
 class AudioSettings:
@@ -150,16 +152,27 @@ def tensors(mels: np.ndarray, s: AudioSettings) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def features(media: bytes, s: AudioSettings) -> dict:
-    """What is kept of a recording: its tensors, active spans in ms, and a short text that stands for both."""
+def record(media: bytes, s: AudioSettings) -> list:
+    """What is stored of a recording: tensors, number of frames, mean level in dB, active spans in ms."""
     samples, _ = decode_wav(media)
     mels, energy = log_mel(np.frombuffer(samples, dtype=np.uint8), s)
     ms = 1000 * s.hop / s.target_rate
-    spans = [(a * ms, b * ms) for a, b in active_spans(energy, s.on_db, s.off_db)]
+    spans = active_spans(energy, s.on_db, s.off_db)
+    return [tensors(mels, s), len(mels), float(energy.mean()), [a * ms for a, _ in spans], [b * ms for _, b in spans]]
+
+
+def frames_of(stream: bytes, count: int) -> np.ndarray:
+    """The first ``count`` log-mel rows of a stream of tensors."""
+    column = pa.ipc.open_stream(stream).read_all().column("log_mel").combine_chunks()
+    return column.to_numpy_ndarray().reshape(-1, column.type.shape[1])[:count]
+
+
+def feature_text(stream: bytes, count: int, level: float, starts: list[float], ends: list[float]) -> str:
+    """A short text that stands for stored tensors and active spans."""
+    mels, spans = frames_of(stream, count), list(zip(starts, ends, strict=True))
     rounded = np.round(mels.astype(np.float64).mean(axis=0), 2)
     digest = hashlib.sha256(np.round(mels, 2).tobytes() + repr(spans).encode()).hexdigest()[:32]
-    text = f"frames={len(mels)};active={len(spans)};level={float(energy.mean()):.2f};mel={','.join(f'{v:.2f}' for v in rounded[:: max(1, s.mels // 8)])};sha={digest}"
-    return {"samples": samples, "mels": mels, "spans": spans, "feature": text}
+    return f"frames={count};active={len(spans)};level={level:.2f};mel={','.join(f'{v:.2f}' for v in rounded[:: max(1, mels.shape[1] // 8)])};sha={digest}"
 
 
 FEATURES = T.StructType(
@@ -174,23 +187,26 @@ FEATURES = T.StructType(
         T.StructField("feature", T.StringType()),
     ]
 )
-TENSORS = [T.StructField("tensors", T.BinaryType()), T.StructField("active_start_ms", T.ArrayType(T.DoubleType())), T.StructField("active_end_ms", T.ArrayType(T.DoubleType()))]
+SPANS = [T.StructField("active_start_ms", T.ArrayType(T.DoubleType())), T.StructField("active_end_ms", T.ArrayType(T.DoubleType()))]
+TENSORS = [T.StructField("tensors", T.BinaryType()), *SPANS, T.StructField("media", T.BinaryType())]
+STORED = T.StructType([*FEATURES.fields[:2], T.StructField("media", T.BinaryType()), TENSORS[0], T.StructField("frames", T.LongType()), T.StructField("level", T.DoubleType()), *SPANS])
+_SPANS = [pa.list_(pa.float64())] * 2
 
 
 def text_audio_features(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", unit: int = 576, settings: AudioSettings | None = None, keep_tensors: bool = True
 ) -> DataFrame:
-    """Each text's UTF-8 bytes as a recording, and that recording's features, read back from the stored bytes.
+    """Each text's UTF-8 bytes as a recording, and that recording's features, both stored and read back.
 
     The payload is the bytes, filled with 255 to a positive multiple of ``unit``. Null and empty texts are one unit of
     255. Equal texts give equal values, whatever stands beside them. Repeated rows and null ids pass through; other
-    columns are not read; an empty table gives no rows. ``keep_tensors`` adds the Arrow stream of tensors and the
-    active spans; without it only digests leave the worker. No shuffle.
+    columns are not read; an empty table gives no rows. Waves, Arrow streams of tensors and active spans are written to
+    the shared folder; sizes, digests and features come from there. ``keep_tensors`` adds what is stored. No shuffle.
     """
     s = settings or AudioSettings()
     schema = T.StructType(FEATURES.fields + (TENSORS if keep_tensors else []))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for at in range(0, len(ids), 500):
@@ -198,14 +214,23 @@ def text_audio_features(
                 for raw in batch.column(1).slice(at, 500).cast(pa.binary()).to_pylist():
                     raw = raw or b""
                     media = encode_wav(raw + b"\xff" * (-len(raw) % unit or (0 if raw else unit)), s.rate)
-                    got = features(media, s)
-                    payload = got["samples"]
-                    row = [len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), got["feature"]]
-                    if keep_tensors:
-                        row += [tensors(got["mels"], s), [a for a, _ in got["spans"]], [b for _, b in got["spans"]]]
-                    rows.append(row)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 500), *columns], names=schema.names)
-
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+                    rows.append([len(raw), media, *record(media, s)])
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), *_SPANS]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 500), *columns], names=STORED.names)
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                rows = []
+                for media, *kept in zip(*[c.to_pylist() for c in part.columns[2:]], strict=True):
+                    payload, _ = decode_wav(media)
+                    rows.append([len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_text(*kept)])
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                more = [part.column(STORED.names.index(f.name)) for f in TENSORS] if keep_tensors else []
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, *more], names=schema.names)
+
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    return written(rows.mapInArrow(store, STORED), "audio", "zstd").mapInArrow(load, schema)

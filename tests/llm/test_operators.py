@@ -379,6 +379,20 @@ def test_media_round_trip(edge, empty):
     assert table.schema.field("log_mel").type.shape == [32, 32]
 
 
+def test_thin_features_come_from_stored_waves_and_tensors(edge):
+    thin = audio.text_audio_features(edge, keep_tensors=False)
+    (folder,) = {f.rsplit("/", 1)[0] for f in thin.inputFiles()}
+    stored = edge.sparkSession.read.parquet(folder).collect()
+    assert len(stored) == len(edge_rows())
+    wanted = []
+    for r in stored:
+        mels, energy = audio.log_mel(np.frombuffer(audio.decode_wav(bytes(r["media"]))[0], dtype=np.uint8), audio.AudioSettings())
+        assert np.array_equal(audio.frames_of(bytes(r["tensors"]), r["frames"]), mels)
+        wanted.append((r["doc_id"], hashlib.sha256(r["media"]).hexdigest(), len(mels), f"{float(energy.mean()):.2f}"))
+    got = [(r["doc_id"], r["media_sha256"], int(r["feature"].split(";")[0][7:]), r["feature"].split(";")[2][6:]) for r in thin.collect()]
+    assert sorted(got, key=key) == sorted(wanted, key=key)
+
+
 def test_blocks_change_nothing():
     samples = np.random.default_rng(1).integers(0, 256, 100_000).astype(np.uint8)
     a, _ = audio.log_mel(samples, audio.AudioSettings(block=64))
