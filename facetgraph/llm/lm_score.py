@@ -2,15 +2,21 @@
 
 A unit x seen c times is held as the members (x, 1) to (x, q), q = 1 + floor(log_base c); a lookup probes (x, 1),
 (x, 2), ... until one is missing. Counting moves no text: each block of documents sends its distinct hashed n-grams,
-packed, to segments of the hash space; each segment counts its own and builds its own part of the filter. The parts
-together are broadcast, after a check of their size, which grows with the distinct n-grams.
+packed, to segments of the hash space; each segment counts its own and writes its own part of the filter to the shared
+folder. Every worker has all parts: where the folder is a mounted one the workers of a machine map the same pages,
+elsewhere each reads parts as it needs them and keeps some.
+
+With q(h, w) the quantised count of a pair, S(h) its sum over w, u(w) the unigram share and x the false pairs that a
+history is expected to have, p(w | h) = (q(h, w) + m u(w)) / (S(h) + m + x): it sums to 1 over the vocabulary. S is in the
+filter too, as binary digits of its ratio to the history's own quantised count. m comes from all training pairs.
 """
 
 from __future__ import annotations
 
 import functools
 import pickle
-from collections import defaultdict
+import uuid
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +28,19 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetgraph.llm.common import written
+from facetgraph.llm.common import new_folder, remove, written
 
 BASE = 2**0.5
 END, BEGIN = b" end", b" begin"  # no word has a blank
 BLOCK_BYTES = 6_000_000
+LOW = np.uint64(28)
+#: Bits asked for the first level of a pair, of a word, for later levels and for the digits of a normaliser. A history has
+#: 2 ** -PAIR_PROBES of the vocabulary as false pairs, so many because rare histories have few true ones.
+PAIR_PROBES, WORD_PROBES, MORE_PROBES, DIGIT_PROBES = 20, 16, 10, 14
+#: Binary digits of a normaliser; their members have the numbers from DIGIT_NUMBER on, beyond all levels.
+DIGITS, DIGIT_NUMBER = 8, 1000
+#: Counts up to this level are exact: 1, 2 and 3.
+EXACT_LEVEL = 4
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_sum double, score double"
 
 
@@ -40,7 +54,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(3) + mix(b + np.uint64(0x51_7C_C1_B7_27_22_0A_95)))
+    """36 bits of the hash a of the history, then 28 bits of both."""
+    both = mix(a * np.uint64(3) + mix(b + np.uint64(0x51_7C_C1_B7_27_22_0A_95)))
+    return ((a >> LOW) << LOW) | (both >> (np.uint64(64) - LOW))
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -59,63 +75,126 @@ def counts_of_levels(top: int = 130) -> np.ndarray:
 
 
 class FilterPart:
-    """One segment of the filter: ``probes`` bits a member, so a false member has a chance of 2 ** -probes."""
+    """One part of the filter. A member asked with ``probes`` bits is false with a chance of 2 ** -probes."""
 
-    def __init__(self, bits: np.ndarray, size: int, probes: int):
-        self.bits, self.size, self.probes = bits, size, probes
+    def __init__(self, bits: np.ndarray, size: int):
+        self.bits, self.size = bits, np.uint64(size)
 
     @staticmethod
-    def positions(keys: np.ndarray, level: np.ndarray, size: int, probes: int) -> np.ndarray:
-        first = mix(keys + level.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        step = mix(first) | np.uint64(1)
-        return np.stack([(first + np.uint64(i) * step) % np.uint64(size) for i in range(probes)])
+    def start(keys: np.ndarray, number: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        first = mix(keys + np.asarray(number).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        return first, mix(first) | np.uint64(1)
 
     @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray, probes: int) -> FilterPart:
-        levels = level_of(counts)
-        members = np.repeat(keys, levels)
-        ends = np.cumsum(levels)
-        level = np.arange(len(members)) - np.repeat(ends - levels, levels) + 1
-        size = max(64, int(np.ceil(len(members) * probes / np.log(2) / 8)) * 8)
+    def build(cls, members: list[tuple[np.ndarray, np.ndarray, int]]) -> FilterPart:
+        """Of (keys, numbers, probes)."""
+        size = max(64, -(-int(sum(len(k) * probes for k, _, probes in members) / np.log(2)) // 8) * 8)
         on = np.zeros(size, dtype=bool)
-        for at in range(0, len(members), 1_000_000):
-            on[cls.positions(members[at : at + 1_000_000], level[at : at + 1_000_000], size, probes).astype(np.int64)] = True
-        return cls(np.packbits(on, bitorder="little"), size, probes)
+        for keys, numbers, probes in members:
+            for at in range(0, len(keys), 500_000):
+                place, step = cls.start(keys[at : at + 500_000], numbers[at : at + 500_000])
+                for _ in range(probes):
+                    on[((place >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)] = True
+                    place = place + step
+        return cls(np.packbits(on, bitorder="little"), size)
+
+    def has(self, keys: np.ndarray, number: int, probes: int) -> np.ndarray:
+        """Whether (key, number) is a member, for each key."""
+        alive = np.arange(len(keys))
+        place, step = self.start(keys, number)
+        for _ in range(probes):
+            at = ((place >> np.uint64(32)) * self.size) >> np.uint64(32)
+            hit = ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            if not hit.all():
+                alive, place, step = alive[hit], place[hit], step[hit]
+            place = place + step
+        out = np.zeros(len(keys), dtype=bool)
+        out[alive] = True
+        return out
 
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key: as many as answer without a gap."""
-        levels, alive = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
+    def levels(self, keys: np.ndarray, probes: int) -> np.ndarray:
+        """The level of each key, as many as answer without a gap: the first asked with ``probes`` bits."""
+        out, alive, number = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 0
         while len(alive):
-            at = self.positions(keys[alive], levels[alive] + 1, self.size, self.probes).astype(np.int64)
-            hit = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
-            alive = alive[hit]
-            levels[alive] += 1
-        return levels
+            number += 1
+            alive = alive[self.has(keys[alive], number, probes if number == 1 else MORE_PROBES)]
+            out[alive] = number
+        return out
 
 
-class CountFilter:
-    """All parts; a key's part is its hash modulo their number."""
+def level_members(keys: np.ndarray, counts: np.ndarray, probes: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Members of keys seen ``counts`` times, for FilterPart.build."""
+    more = level_of(counts) - 1
+    ends = np.cumsum(more)
+    return [(keys, np.ones(len(keys), dtype=np.int64), probes), (np.repeat(keys, more), np.arange(int(more.sum())) - np.repeat(ends - more, more) + 2, MORE_PROBES)]
 
-    def __init__(self, parts: dict[int, FilterPart], segments: int):
-        self.parts, self.segments = parts, segments
 
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), dtype=np.int64)
-        for segment, part, rows in split(keys, self.segments):
-            if segment in self.parts:
-                out[rows] = self.parts[segment].look_up(part)
-        return out
+def ratio_digits(ratio: np.ndarray) -> np.ndarray:
+    """Ratios of 2 ** -0.6 to 2 ** 0.6 as numbers of DIGITS binary digits."""
+    return np.clip(np.rint((np.log2(ratio) + 0.6) / 1.2 * (2**DIGITS - 1)), 0, 2**DIGITS - 1).astype(np.int64)
+
+
+class Parts:
+    """Parts of a filter by number, from files of the shared folder; ``kept`` bytes stay if the folder isn't mounted."""
+
+    def __init__(self, folder: str, files: dict[int, tuple[str, int]], kept: int = 1 << 28):
+        self.folder, self.files, self.kept = folder, files, kept
+        self.held: OrderedDict[int, FilterPart] = OrderedDict()
+
+    def __getstate__(self):
+        return {**self.__dict__, "held": OrderedDict()}
+
+    def __contains__(self, number: int) -> bool:
+        return number in self.files
+
+    def __getitem__(self, number: int) -> FilterPart:
+        from pyarrow import fs
+
+        if number in self.held:
+            self.held.move_to_end(number)
+            return self.held[number]
+        system, path = fs.FileSystem.from_uri(self.folder)
+        name, size = self.files[number]
+        if isinstance(system, fs.LocalFileSystem):
+            bits = np.memmap(f"{path}/{name}", dtype=np.uint8, mode="r")
+        else:
+            with system.open_input_stream(f"{path}/{name}", compression=None) as stream:
+                bits = np.frombuffer(stream.read(), dtype=np.uint8)
+            while self.held and sum(len(p.bits) for p in self.held.values()) + len(bits) > self.kept:
+                self.held.popitem(last=False)
+        self.held[number] = FilterPart(bits, size)
+        return self.held[number]
+
 
+def write_part(folder: str, part: FilterPart) -> str:
+    """The part's bits as a new file; its name. A task that runs again writes another file, and only the last is named."""
+    from pyarrow import fs
 
-def split(keys: np.ndarray, segments: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Segment, its keys and their places, for each segment that has some."""
-    where = (keys % np.uint64(segments)).astype(np.int64)
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path)
+    name = uuid.uuid4().hex
+    with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+        out.write(part.bits)
+    return name
+
+
+def split(keys: np.ndarray, where: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each number in ``where`` with its keys and their places."""
     order = np.argsort(where, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
         if len(rows):
             yield int(where[rows[0]]), keys[rows], rows
 
 
+def segment_of(pairs: np.ndarray, segments: int) -> np.ndarray:
+    return (mix(pairs) % np.uint64(segments)).astype(np.int64)
+
+
+def home_of(hashes: np.ndarray, homes: int) -> np.ndarray:
+    """Where a word's count and normaliser are, by its hash's upper bits, which pairs know of their history."""
+    return (mix(hashes >> LOW) % np.uint64(homes)).astype(np.int64)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes; each is narrowed, and its bytes are laid plane by plane, which compresses better."""
     out = []
@@ -180,20 +259,20 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Re
                 yield batch.slice(a, b - a), Block(column.slice(a, b - a).to_pylist())
 
 
-def _count_blocks(segments: int):
+def _count_blocks(segments: int, homes: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in blocks(batches, 0):
             words = np.bincount(block.tokens, minlength=len(block.hashes))
             seen = words > 0
-            # the begin of a text counts as a history, not as a word
-            begin = np.asarray([block.hashes[block.begin]], dtype=np.uint64)
             pairs, times = np.unique(block.pairs, return_counts=True)
+            keys = block.pair_keys(pairs)
             rows: dict[int, list] = defaultdict(lambda: [b"", b"", 0])
-            for segment, keys, at in split(block.hashes[seen], segments):
-                rows[segment][0] = pack_keys(keys, words[seen][at])
-            for segment, keys, at in split(block.pair_keys(pairs), segments):
-                rows[segment][1] = pack_keys(keys >> np.uint64(16), times[at])
-            rows[int(begin[0] % np.uint64(segments))][2] = len(block.sizes)
+            for home, part, at in split(block.hashes[seen], home_of(block.hashes[seen], homes)):
+                rows[home][0] = pack_keys(part, words[seen][at])
+            for segment, part, at in split(keys, segment_of(keys, segments)):
+                rows[segment][1] = pack_keys(part, times[at])
+            # the begin of a text counts as a history, not as a word
+            rows[int(home_of(block.hashes[[block.begin]], homes)[0])][2] = len(block.sizes)
             got = sorted(rows.items())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in got], pa.int32()), pa.array([v[0] for _, v in got], pa.binary()), pa.array([v[1] for _, v in got], pa.binary()), pa.array([v[2] for _, v in got], pa.int64())],
@@ -216,83 +295,137 @@ def _sum_blobs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _build_segment(probes: int):
-    begin = np.uint64(xxhash.xxh64_intdigest(BEGIN))
+SEGMENTS = "segment int, home int, words binary, sums binary, texts bigint, file string, size bigint, singles bigint"
+HOMES = "home int, counts binary, file string, size bigint, n_words bigint, n_tokens bigint, quantised double, histories binary"
+
+
+def _build_segment(folder: str, homes: int):
+    """A segment's part of the pairs' filter (home -1), and for each home its histories with sums of quantised counts."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        words, counts = _sum_blobs(group["words"].tolist())
+        segment = int(group["segment"].iloc[0])
         pairs, times = _sum_blobs(group["pairs"].tolist())
+        part = FilterPart.build(level_members(pairs, times, PAIR_PROBES))
+        out = [(segment, -1, b"", b"", 0, write_part(folder, part), int(part.size), int((times == 1).sum()))]
+        if len(pairs):
+            history = pairs >> LOW
+            first = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
+            sums = np.add.reduceat(doubled_counts()[level_of(times)], first)
+            history = history[first]
+            out += [(segment, home, b"", pack_keys(keys, sums[at]), 0, "", 0, 0) for home, keys, at in split(history, home_of(history << LOW, homes))]
+        words, counts = _sum_blobs(group["words"].tolist())
         texts = int(group["texts"].sum())
-        histories = np.asarray([begin] if texts else [], dtype=np.uint64)
-        keys = np.concatenate([unigram_key(words), unigram_key(histories), pairs])
-        part = FilterPart.build(keys, np.concatenate([counts, [texts] * len(histories), times]), probes)
+        if len(words) or texts:
+            out.append((segment, segment, pack(words, counts), b"", texts, "", 0, 0))
+        return pd.DataFrame(out, columns=[c.split(" ")[0] for c in SEGMENTS.split(", ")])
+
+    return build
+
+
+def _build_home(folder: str):
+    """Exact counts of a home's words and the part of the filter with their levels and normalisers."""
+    begin = np.uint64(xxhash.xxh64_intdigest(BEGIN))
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        found = [unpack(b) for b in group["words"] if len(b)]
+        words, counts = (found[0][0], found[0][1].astype(np.int64)) if found else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        texts = int(group["texts"].sum())
+        known = np.append(words, begin) if texts else words
+        times = np.append(counts, texts) if texts else counts
+        history, sums = _sum_blobs(group["sums"].tolist())
+        at = np.minimum(np.searchsorted(history, known >> LOW), max(len(history) - 1, 0))
+        total = np.where(history[at] == known >> LOW, sums[at], 0) if len(history) else np.zeros(len(known), dtype=np.int64)
+        keys, levels = unigram_key(known), level_of(times)
+        members = level_members(keys, times, WORD_PROBES)
+        some = (total > 0) & (levels > EXACT_LEVEL)
+        digits = ratio_digits(total[some] / doubled_counts()[levels[some]])
+        for i in range(DIGITS):
+            on = keys[some][digits >> i & 1 == 1]
+            members.append((on, np.full(len(on), DIGIT_NUMBER + i), DIGIT_PROBES))
+        part = FilterPart.build(members)
         quantised = float(counts_of_levels()[level_of(counts)].sum())
-        return pd.DataFrame(
-            [(int(group["segment"].iloc[0]), pack(words, counts), part.bits.tobytes(), part.size, len(words), int(counts.sum()), quantised)], columns=["segment", "counts", "bits", "size", "n_words", "n_tokens", "quantised"]
-        )
+        histories = np.bincount(levels[total > 0], minlength=len(counts_of_levels()))
+        row = (int(group["home"].iloc[0]), pack(words, counts), write_part(folder, part), int(part.size), len(words), int(counts.sum()), quantised, pickle.dumps(histories))
+        return pd.DataFrame([row], columns=[c.split(" ")[0] for c in HOMES.split(", ")])
 
     return build
 
 
 def unigram_key(hashes: np.ndarray) -> np.ndarray:
-    return mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(16)
+    return mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
+
+
+def doubled_counts() -> np.ndarray:
+    """Twice counts_of_levels(): integers, whose sums don't depend on an order."""
+    return np.rint(2 * np.minimum(counts_of_levels(), 2.0**60)).astype(np.int64)
+
+
+def prior_weight(singles: int, histories: np.ndarray) -> float:
+    """m of the module's formula, from the pairs seen once and the number of histories at each level.
+
+    Where m u(w) is small beside 1, the likelihood of each pair by all others has its maximum where
+    singles = m * sum over histories of S / (S - 1 + m); histories seen once say nothing of m.
+    """
+    count = counts_of_levels()[: len(histories)]
+    singles = singles - int(histories[1])
+    size, many = count[2:], histories[2:]
+    low, high = 1.0, 1e6
+    for _ in range(60):
+        m = (low * high) ** 0.5
+        low, high = (m, high) if m * (many * size / (size - 1 + m))[many > 0].sum() < singles else (low, m)
+    return low
 
 
 class Model:
-    """The filter, totals and interpolation weights; log10 probabilities of a block's documents."""
-
-    def __init__(self, counts: CountFilter, total: float, distinct: int, keep: np.ndarray):
-        self.counts, self.total, self.distinct, self.keep = counts, total, distinct, keep
-
-    def levels(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Levels of the vocabulary; distinct pairs, their places, their levels. A pair of unseen words isn't probed."""
-        segments = np.uint64(self.counts.segments)
-        words = np.zeros(len(block.hashes), dtype=np.int64)
-        keys = unigram_key(block.hashes)
-        for segment, _, rows in split(block.hashes, int(segments)):
-            if segment in self.counts.parts:
-                words[rows] = self.counts.parts[segment].look_up(keys[rows])
-        pairs, where = np.unique(block.pairs, return_inverse=True)
-        n = len(block.hashes)
-        levels = np.zeros(len(pairs), dtype=np.int64)
-        maybe = np.flatnonzero((words[pairs // n] > 0) & (words[pairs % n] > 0))
-        hashed = block.pair_keys(pairs[maybe])
-        for segment, part, rows in split(hashed, int(segments)):
-            if segment in self.counts.parts:
-                levels[maybe[rows]] = self.counts.parts[segment].look_up(part >> np.uint64(16))
-        # a pair isn't more frequent than its words: what the filter says beyond that is false
-        levels = np.minimum(levels, np.minimum(words[pairs // n], words[pairs % n]))
-        return words, pairs, where, levels
+    """The filter's parts, totals and m; log10 probabilities of a block's documents."""
+
+    def __init__(self, pairs: Parts, words: Parts, segments: int, homes: int, total: float, distinct: int, prior: float):
+        self.pairs, self.words, self.segments, self.homes = pairs, words, segments, homes
+        self.total, self.distinct, self.prior = total, distinct, prior
+
+    def word_levels(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The level of each word, and S of it as a history."""
+        levels, sums, keys = np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes)), unigram_key(hashes)
+        for home, part, rows in split(keys, home_of(hashes, self.homes)):
+            if home in self.words:
+                found = self.words[home]
+                levels[rows] = found.levels(part, WORD_PROBES)
+                sums[rows] = counts_of_levels()[levels[rows]]
+                many = rows[levels[rows] > EXACT_LEVEL]
+                digits = np.zeros(len(many), dtype=np.int64)
+                for i in range(DIGITS):
+                    digits += found.has(keys[many], DIGIT_NUMBER + i, DIGIT_PROBES).astype(np.int64) << i
+                sums[many] *= 2.0 ** (digits * 1.2 / (2**DIGITS - 1) - 0.6)
+        return levels, sums
+
+    def pair_levels(self, keys: np.ndarray) -> np.ndarray:
+        levels = np.zeros(len(keys), dtype=np.int64)
+        for segment, part, rows in split(keys, segment_of(keys, self.segments)):
+            if segment in self.pairs:
+                levels[rows] = self.pairs[segment].levels(part, PAIR_PROBES)
+        return levels
+
+    def log_probabilities(self, keys: np.ndarray, history: np.ndarray, word: np.ndarray, levels: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """log10 p of pairs with these keys, given places of their history and word in levels and sums."""
+        table = counts_of_levels()
+        single = (table[levels[word]] + 1) / (self.total + self.distinct + 1)
+        # a pair of an unseen word isn't probed; one isn't more frequent than its words: more than that is false
+        found = np.zeros(len(keys), dtype=np.int64)
+        maybe = np.flatnonzero((levels[history] > 0) & (levels[word] > 0))
+        found[maybe] = np.minimum(self.pair_levels(keys[maybe]), np.minimum(levels[history[maybe]], levels[word[maybe]]))
+        false = np.where(levels[history] > 0, self.distinct * 2.0**-PAIR_PROBES, 0.0)
+        return np.log10((table[found] + self.prior * single) / (sums[history] + self.prior + false))
 
     def score(self, block: Block) -> np.ndarray:
-        words, pairs, where, levels = self.levels(block)
-        table, n = counts_of_levels(), len(block.hashes)
-        single = (table[words] + 1) / (self.total + self.distinct + 1)
-        history = words[pairs // n]
-        share = table[levels] / np.maximum(table[history], 1)
-        keep = np.where(history > 0, self.keep[history], 1.0)
-        log = np.log10(keep * single[pairs % n] + (1 - keep) * np.minimum(share, 1))
+        levels, sums = self.word_levels(block.hashes)
+        pairs, where = np.unique(block.pairs, return_inverse=True)
+        n = len(block.hashes)
+        log = self.log_probabilities(block.pair_keys(pairs), pairs // n, pairs % n, levels, sums)
         return np.add.reduceat(log[where], block.starts)
 
 
-def fit_interpolation(model: Model, block: Block, rounds: int = 12) -> np.ndarray:
-    """For each level of the history the weight of the unigram, by leave-one-out EM on a sample of training texts."""
-    words, pairs, where, levels = model.levels(block)
-    table, n = counts_of_levels(), len(block.hashes)
-    single = ((np.maximum(table[words] - 1, 0) + 1) / (model.total + model.distinct))[pairs % n]
-    history = words[pairs // n]
-    share = np.clip((table[levels] - 1) / np.maximum(table[history] - 1, 1), 0, 1)
-    times = np.bincount(where, minlength=len(pairs))
-    keep = np.full(len(table), 0.5)
-    for _ in range(rounds):
-        mine = keep[history] * single
-        part = times * mine / (mine + (1 - keep[history]) * share)
-        keep = (np.bincount(history, part, len(table)) + 0.9) / (np.bincount(history, times, len(table)) + 1.0)
-    return np.clip(keep, 1e-4, 1.0)
-
-
-def _score_blocks(shared, hot_keys: np.ndarray, hot_logs: np.ndarray, segments: int):
-    """Rows of two kinds: one of each block with its documents, and one of each block and segment with rare words."""
+def _score_blocks(shared, hot_keys: np.ndarray, hot_logs: np.ndarray):
+    """Rows of two kinds: one of each block with its documents, and one of each block and home with rare words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -319,19 +452,19 @@ def _score_blocks(shared, hot_keys: np.ndarray, hot_logs: np.ndarray, segments:
             head = pickle.dumps((ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), block.sizes, known, base, score))
             rows = [(name, -1, head)]
             first, last = np.searchsorted(word, used), np.searchsorted(word, used, side="right")
-            for segment, keys, place in split(block.hashes[used], segments):
+            for home, keys, place in split(block.hashes[used], home_of(block.hashes[used], model.homes)):
                 mine = place[np.argsort(keys)]
                 spans = last[mine] - first[mine]
                 take = np.repeat(first[mine] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
-                rows.append((name, segment, pack(np.diff(np.sort(keys), prepend=np.uint64(0)), spans, doc[take], times[take])))
+                rows.append((name, home, pack(np.diff(np.sort(keys), prepend=np.uint64(0)), spans, doc[take], times[take])))
             kinds = [pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "segment", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "home", "blob"])
 
     return run
 
 
 def _answer(counts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """For each block that asks a segment: documents, sum of log10(c + 1) and tokens with c > 0 of its rare words."""
+    """For each block that asks a home: documents, sum of log10(c + 1) and tokens with c > 0 of its rare words."""
     known, numbers = unpack(counts["counts"].iloc[0]) if len(counts) else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
     out = []
     for block, blob in zip(asked["block"], asked["blob"], strict=True):
@@ -342,15 +475,15 @@ def _answer(counts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         each, times = np.repeat(c, spans.astype(np.int64)), times.astype(np.int64)
         docs, where = np.unique(doc, return_inverse=True)
         out.append((block, -2, pickle.dumps((docs, np.bincount(where, np.log10(each + 1.0) * times), np.bincount(where, (each > 0) * times)))))
-    return pd.DataFrame(out, columns=["block", "segment", "blob"])
+    return pd.DataFrame(out, columns=["block", "home", "blob"])
 
 
 def _gather(group: pd.DataFrame) -> pd.DataFrame:
-    """A block's documents with the answers of all segments added, in a fixed order."""
-    head = pickle.loads(group.loc[group["segment"] == -1, "blob"].iloc[0])
+    """A block's documents with the answers of all homes added, in a fixed order."""
+    head = pickle.loads(group.loc[group["home"] == -1, "blob"].iloc[0])
     ids, valid, held, sizes, known, base, score = head
     known, base = known.copy(), base.copy()
-    answers = sorted((pickle.loads(b) for b in group.loc[group["segment"] == -2, "blob"]), key=lambda x: (len(x[0]), x[1].tobytes()))
+    answers = sorted((pickle.loads(b) for b in group.loc[group["home"] == -2, "blob"]), key=lambda x: (len(x[0]), x[1].tobytes()))
     for docs, logs, some in answers:
         base[docs] += logs
         known[docs] += some.astype(np.int64)
@@ -359,39 +492,41 @@ def _gather(group: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def score_documents(
-    docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", probes: int = 7, segment_bytes: int = 24 << 20, hot_share: int = 100_000, sample_texts: int = 2000, filter_limit: int = 1 << 30
-) -> DataFrame:
+def train_model(learn: DataFrame, segment_bytes: int = 24 << 20) -> tuple[Model, DataFrame]:
+    """The model of the column ``text`` (null as empty) and, by home, the exact counts of its words."""
+    spark = learn.sparkSession
+    octets = learn.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    segments = max(1, -(-octets // segment_bytes))
+    homes = -(-segments // 4)
+    folder = new_folder(spark, "ngrams")
+    counted = learn.mapInArrow(_count_blocks(segments, homes), "segment int, words binary, pairs binary, texts bigint")
+    rows = written(counted.groupBy("segment").applyInPandas(_build_segment(folder, homes), SEGMENTS), "segments")
+    parts = written(rows.where("home >= 0").groupBy("home").applyInPandas(_build_home(folder), HOMES), "words")
+    pairs = {r["segment"]: (r["file"], r["size"]) for r in rows.where("home = -1").select("segment", "file", "size").toLocalIterator()}
+    singles = rows.agg(F.sum("singles")).first()[0] or 0
+    remove(spark, rows.written_path)
+    words, total, distinct, histories = {}, 0.0, 0, np.zeros(len(counts_of_levels()), dtype=np.int64)
+    for r in parts.drop("counts").orderBy("home").toLocalIterator():
+        words[r["home"]] = (r["file"], r["size"])
+        total, distinct, histories = total + r["quantised"], distinct + r["n_words"], histories + pickle.loads(r["histories"])
+    return Model(Parts(folder, pairs), Parts(folder, words), segments, homes, total, distinct, prior_weight(singles, histories)), parts
+
+
+def score_documents(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", segment_bytes: int = 24 << 20, hot_share: int = 100_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Tokens are the non-blank runs of the whole text (A-Z lower-cased) and one end. The model learns from the rows that
-    are not held out: bigram and unigram counts, quantised in the filter, interpolated by weights that a sample of
-    about ``sample_texts`` training texts fits. base_score uses exact counts of words, told apart by 64-bit hashes:
-    words that are at least 1 / ``hot_share`` of the tokens (so at most ``hot_share`` words) go to the workers, others
-    are looked up in the segment that holds them. Null texts are empty and have the end only; repeated rows each count
-    and are each scored; null ids stay null; other columns are not read; an empty table gives no rows, and with
-    nothing to learn from all counts are 0. ``filter_limit`` is the most bytes of filter that are broadcast; a larger
-    filter is an error that says so, since workers couldn't hold it.
+    are not held out: bigram and unigram counts, quantised in the filter, smoothed by Dirichlet priors whose weight all
+    training pairs give. base_score uses exact counts of words, told apart by 64-bit hashes: words that are at least
+    1 / ``hot_share`` of the tokens (so at most ``hot_share`` words) go to the workers, others are looked up at the home
+    of their hash. Null texts are empty and have the end only; repeated rows each count and are each scored; null ids
+    stay null; other columns are not read; an empty table gives no rows, and with nothing to learn from all counts
+    are 0 and ``score`` is that of unseen words. One segment of the hash space stands for ``segment_bytes`` of text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    learn = rows.where(~F.col("held_out")).select("text")
-    octets, texts = learn.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    segments = max(1, -(-octets // segment_bytes))
-    counted = learn.mapInArrow(_count_blocks(segments), "segment int, words binary, pairs binary, texts bigint")
-    schema = "segment int, counts binary, bits binary, size bigint, n_words bigint, n_tokens bigint, quantised double"
-    parts = written(counted.groupBy("segment").applyInPandas(_build_segment(probes), schema), "filter")
-    totals = parts.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("quantised"), F.sum(F.octet_length("bits"))).first()
-    distinct, tokens, quantised, size = int(totals[0] or 0), int(totals[1] or 0), float(totals[2] or 0), int(totals[3] or 0)
-    if size > filter_limit:
-        raise ValueError(f"the filter has {size} bytes; filter_limit is {filter_limit}")
-    held = {r["segment"]: FilterPart(np.frombuffer(r["bits"], dtype=np.uint8), r["size"], probes) for r in parts.select("segment", "bits", "size").toLocalIterator()}
-    model = Model(CountFilter(held, segments), quantised, distinct, np.ones(130))
-    if texts:
-        drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_texts / texts) * (1 << 30)))
-        sample = [r[0].encode() for r in learn.where(drawn & F.col("text").isNotNull()).select(F.substring("text", 1, 20_000)).collect()]
-        if sample:
-            model.keep = fit_interpolation(model, Block(sorted(sample)))
+    model, parts = train_model(rows.where(~F.col("held_out")).select("text"), segment_bytes)
+    tokens = int(parts.agg(F.sum("n_tokens")).first()[0] or 0)
     least = max(1, -(-tokens // hot_share))
 
     def hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -405,9 +540,9 @@ def score_documents(
     keys = found["key"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     logs = np.log10(found["n"].to_numpy(dtype=np.float64) + 1)[order]
-    asked = written(rows.mapInArrow(_score_blocks(spark.sparkContext.broadcast(model), keys[order], logs, segments), "block bigint, segment int, blob binary"), "asked")
-    wanted = asked.where("segment >= 0")
-    answers = parts.select("segment", "counts").groupBy("segment").cogroup(wanted.groupBy("segment")).applyInPandas(_answer, "block bigint, segment int, blob binary")
-    scored = asked.where("segment = -1").unionByName(answers).groupBy("block").applyInPandas(_gather, SCORES)
-    base = F.col("base_sum") - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1)))
+    asked = written(rows.mapInArrow(_score_blocks(spark.sparkContext.broadcast(model), keys[order], logs), "block bigint, home int, blob binary"), "asked")
+    wanted = asked.where("home >= 0")
+    answers = parts.select("home", "counts").groupBy("home").cogroup(wanted.groupBy("home")).applyInPandas(_answer, "block bigint, home int, blob binary")
+    scored = asked.where("home = -1").unionByName(answers).groupBy("block").applyInPandas(_gather, SCORES)
+    base = F.col("base_sum") - F.col("n_tokens") * F.lit(float(np.log10(tokens + model.distinct + 1)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
