@@ -203,30 +203,46 @@ def small_bucket_pairs(shared: DataFrame, whole: int, similarity: float) -> Data
     return pairs.where(_fits(similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def first_pairs(shared: DataFrame, whole: int, similarity: float) -> DataFrame:
-    """For each node of large buckets one pair: with the least node that it meets in any of them."""
-    big = shared.where(F.col("size") > whole)
-    least = big.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("x")).withColumnRenamed("bucket", "k")
-    met = big.join(least, F.col("bucket") == F.col("k")).groupBy("node", "n").agg(F.min("x").alias("x"))
-    pairs = met.select("x", F.struct("node", "n").alias("y")).where(F.col("x.node") < F.col("y.node"))
-    return pairs.where(_fits(similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+def large_buckets(shared: DataFrame, whole: int) -> DataFrame:
+    """node, n, buckets (those of over ``whole`` nodes), widest (the one of most nodes) of each node that is in any."""
+    big = shared.where(F.col("size") > whole).groupBy("node")
+    return big.agg(F.any_value("n").alias("n"), F.collect_list("bucket").alias("buckets"), F.max_by("bucket", F.struct("size", "bucket")).alias("widest"))
 
 
-def label(big: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several components as yet, with the component of each row's node."""
+def first_pairs(large: DataFrame, similarity: float) -> DataFrame:
+    """For each node of large buckets one pair: with the least node of its widest bucket."""
+    least = large.groupBy(F.col("widest").alias("k")).agg(F.min(F.struct("node", "n")).alias("x"))
+    pairs = large.select("widest", F.struct("node", "n").alias("y")).join(least, (F.col("widest") == F.col("k")) & (F.col("x.node") < F.col("y.node")) & _fits(similarity))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def label(large: DataFrame, links: DataFrame) -> DataFrame:
+    """node, n, buckets, root: ``large`` with the component of each node."""
     roots = components(links).withColumnRenamed("node", "c")
-    rows = big.join(roots, F.col("node") == F.col("c"), "left").withColumn("root", F.coalesce("root", "node")).drop("c")
-    mixed = rows.groupBy("bucket").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select(F.col("bucket").alias("k"))
-    return written(rows.join(mixed, F.col("bucket") == F.col("k"), "left_semi"), "mixed")
+    return written(large.join(roots, F.col("node") == F.col("c"), "left").select("node", "n", "buckets", F.coalesce("root", "node").alias("root")), "labelled")
+
 
+def mixed_buckets(labelled: DataFrame) -> DataFrame:
+    """Buckets (at) of several components, with their least node x. A node's buckets meet in counts, not in rows."""
+    rows = labelled.select(F.struct("node", "n", "root").alias("x"), F.explode("buckets").alias("at"))
+    found = rows.groupBy("at").agg(F.min("x").alias("x"), F.min("x.root").alias("low"), F.max("x.root").alias("high"))
+    return written(found.where("low <> high").select("at", "x"), "mixed")
 
-def leader_pairs(mixed: DataFrame, similarity: float) -> DataFrame:
-    """The least node of each bucket with the bucket's nodes of other components, as (a, b), a < b."""
-    lead = mixed.groupBy(F.col("bucket").alias("at")).agg(F.min(F.struct("node", "n", "root")).alias("x"))
-    met = mixed.select("bucket", "root", F.struct("node", "n").alias("y")).join(lead, F.col("bucket") == F.col("at")).where((F.col("root") != F.col("x.root")) & _fits(similarity))
+
+def leader_pairs(labelled: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
+    """The least node of each mixed bucket with the bucket's nodes of other components, as (a, b), a < b."""
+    rows = labelled.select("root", F.struct("node", "n").alias("y"), F.explode("buckets").alias("bucket"))
+    met = rows.join(mixed, (F.col("bucket") == F.col("at")) & (F.col("root") != F.col("x.root")) & _fits(similarity))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def open_nodes(labelled: DataFrame, mixed: DataFrame) -> DataFrame:
+    """node, root of the components that have a node in a mixed bucket."""
+    met = labelled.select("root", F.explode("buckets").alias("bucket")).distinct()
+    roots = met.join(mixed, F.col("bucket") == F.col("at"), "left_semi").select(F.col("root").alias("r")).distinct()
+    return labelled.join(roots, F.col("root") == F.col("r"), "left_semi").select("node", "root")
+
+
 def prefixes(own: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
     """node, root, n, key, place, short: of each set (node, root, s) the first shingles, those of rare counters first.
 
@@ -254,12 +270,12 @@ def prefixes(own: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame
     return own.mapInArrow(run, "node bigint, root bigint, n bigint, key bigint, place int, short boolean")
 
 
-def crossing_pairs(mixed: DataFrame, sets: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
-    """All pairs (a, b), a < b, of different components that can have the similarity, of the nodes in mixed buckets.
+def crossing_pairs(nodes: DataFrame, sets: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
+    """All pairs (a, b), a < b, of different components that can have the similarity, of nodes (node, root).
 
     A join of prefixes of the shingles, whatever the bucket: pairs that are left out are under the similarity.
     """
-    nodes = written(mixed.select(F.col("node").alias("m"), "root").distinct(), "open")
+    nodes = written(nodes.select(F.col("node").alias("m"), "root"), "open")
     if nodes.count() <= broadcast_rows:
         nodes = F.broadcast(nodes)
     own = sets.join(nodes, F.col("node") == F.col("m")).select("node", "root", "s")
@@ -287,19 +303,21 @@ def all_links(rows: DataFrame, nodes: DataFrame, similarity: float, whole: int,
     """
     shared = shared_buckets(nodes)
     sets = shingle_sets(rows, nodes, shared, broadcast_rows)
-    pairs = small_bucket_pairs(shared, whole, similarity).unionByName(first_pairs(shared, whole, similarity)).distinct()
+    large = written(large_buckets(shared, whole), "large")
+    pairs = small_bucket_pairs(shared, whole, similarity).unionByName(first_pairs(large, similarity)).distinct()
     links = written(check(pairs, sets, similarity), "checked")
-    big = shared.where(F.col("size") > whole)
-    if big.isEmpty():
+    if large.isEmpty():
         return links
-    mixed = label(big, links)
+    labelled = label(large, links)
+    mixed = mixed_buckets(labelled)
     if mixed.isEmpty():
         return links
-    links = written(links.unionByName(check(leader_pairs(mixed, similarity), sets, similarity)).distinct(), "checked")
-    mixed = label(mixed.drop("root"), links)
+    links = written(links.unionByName(check(leader_pairs(labelled, mixed, similarity), sets, similarity)).distinct(), "checked")
+    labelled = label(large, links)
+    mixed = mixed_buckets(labelled)
     if mixed.isEmpty():
         return links
-    fresh = check(crossing_pairs(mixed, sets, similarity, broadcast_rows), sets, similarity)
+    fresh = check(crossing_pairs(open_nodes(labelled, mixed), sets, similarity, broadcast_rows), sets, similarity)
     return written(links.unionByName(fresh).distinct(), "checked")
 
 
