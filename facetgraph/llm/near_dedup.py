@@ -203,37 +203,53 @@ def small_bucket_pairs(shared: DataFrame, whole: int, similarity: float) -> Data
     return pairs.where(_fits(similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
-def large_buckets(shared: DataFrame, whole: int) -> DataFrame:
-    """node, n, buckets (those of over ``whole`` nodes), widest (the one of most nodes) of each node that is in any."""
-    big = shared.where(F.col("size") > whole).groupBy("node")
-    return big.agg(F.any_value("n").alias("n"), F.collect_list("bucket").alias("buckets"), F.max_by("bucket", F.struct("size", "bucket")).alias("widest"))
-
-
-def first_pairs(large: DataFrame, similarity: float) -> DataFrame:
-    """For each node of large buckets one pair: with the least node of its widest bucket."""
-    least = large.groupBy(F.col("widest").alias("k")).agg(F.min(F.struct("node", "n")).alias("x"))
-    pairs = large.select("widest", F.struct("node", "n").alias("y")).join(least, (F.col("widest") == F.col("k")) & (F.col("x.node") < F.col("y.node")) & _fits(similarity))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+def large_buckets(shared: DataFrame, nodes: DataFrame, whole: int) -> DataFrame:
+    """node, n, bands, buckets of each node in buckets of over ``whole`` nodes; buckets has those buckets."""
+    big = shared.where(F.col("size") > whole).groupBy("node").agg(F.collect_list("bucket").alias("buckets"))
+    return nodes.select("node", "n", "bands").join(big, "node")
 
 
 def label(large: DataFrame, links: DataFrame) -> DataFrame:
-    """node, n, buckets, root: ``large`` with the component of each node."""
+    """``large`` with the component of each node, ``root``."""
     roots = components(links).withColumnRenamed("node", "c")
-    return written(large.join(roots, F.col("node") == F.col("c"), "left").select("node", "n", "buckets", F.coalesce("root", "node").alias("root")), "labelled")
+    return written(large.join(roots, F.col("node") == F.col("c"), "left").withColumn("root", F.coalesce("root", "node")).drop("c"), "labelled")
 
 
-def mixed_buckets(labelled: DataFrame) -> DataFrame:
-    """Buckets (at) of several components, with their least node x. A node's buckets meet in counts, not in rows."""
-    rows = labelled.select(F.struct("node", "n", "root").alias("x"), F.explode("buckets").alias("at"))
-    found = rows.groupBy("at").agg(F.min("x").alias("x"), F.min("x.root").alias("low"), F.max("x.root").alias("high"))
-    return written(found.where("low <> high").select("at", "x"), "mixed")
+def neighbours(labelled: DataFrame, shift: int, similarity: float) -> DataFrame:
+    """Pairs (a, b), a < b, of different components next to each other in large buckets ordered by three other bands.
 
+    Nodes that share several bands come to lie together. The order is dealt out by ranges, so no bucket is one task;
+    the pair at the end of a range is left to crossing_pairs.
+    """
+    names = ["bucket", "s1", "s2", "s3", "node", "n", "root"]
 
-def leader_pairs(labelled: DataFrame, mixed: DataFrame, similarity: float) -> DataFrame:
-    """The least node of each mixed bucket with the bucket's nodes of other components, as (a, b), a < b."""
-    rows = labelled.select("root", F.struct("node", "n").alias("y"), F.explode("buckets").alias("bucket"))
-    met = rows.join(mixed, (F.col("bucket") == F.col("at")) & (F.col("root") != F.col("x.root")) & _fits(similarity))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, root, blobs, lists = (batch.column(i) for i in range(5))
+            bands = np.frombuffer(b"".join(blobs.to_pylist()), dtype=np.int64).reshape(-1, BANDS)
+            owner, bucket = np.repeat(np.arange(len(bands)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            at = (bands[owner] == bucket[:, None]).argmax(axis=1)
+            later = [bands[owner, (at + shift + i) % BANDS] for i in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket, *later, *(x.to_numpy()[owner] for x in (node, n, root)))], names=names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((4, 0), dtype=np.int64)
+        for batch in batches:
+            rows = np.concatenate([last, np.stack([batch.column(i).to_numpy() for i in range(4)])], axis=1)
+            last = rows[:, -1:]
+            (bucket, node, n, root), x, y = rows, slice(None, -1), slice(1, None)
+            near = (bucket[x] == bucket[y]) & (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(f(node[x], node[y])[near]) for f in (np.minimum, np.maximum)], names=["a", "b"])
+
+    rows = labelled.select("node", "n", "root", "bands", "buckets").mapInArrow(order, ", ".join(f"{c} bigint" for c in names))
+    dealt = rows.repartitionByRange(*names[:5]).sortWithinPartitions(*names[:5])
+    return dealt.select("bucket", "node", "n", "root").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def mixed_buckets(labelled: DataFrame) -> DataFrame:
+    """Buckets (at) of several components. A node's buckets meet in counts, not in rows."""
+    rows = labelled.select("root", F.explode("buckets").alias("at")).groupBy("at")
+    return written(rows.agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("at"), "mixed")
 
 
 def open_nodes(labelled: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -297,28 +313,25 @@ def crossing_pairs(nodes: DataFrame, sets: DataFrame, similarity: float, broadca
 def all_links(rows: DataFrame, nodes: DataFrame, similarity: float, whole: int, broadcast_rows: int) -> DataFrame:
     """Checked links, enough of them to connect what links connect.
 
-    Small buckets check all their pairs. In large ones each node is first checked with one other, then, in buckets
-    that still hold several components, with the bucket's least node. Nodes of buckets that hold several components
-    even so are joined by prefixes of their shingles: each pair of different components is checked or can't be a link.
+    Small buckets check all their pairs. In large ones each node is checked with its neighbours in an order of other
+    bands, in two rounds. Nodes of buckets that hold several components even so are joined by prefixes of their
+    shingles: each pair of different components is checked or can't be a link.
     """
     shared = shared_buckets(nodes)
     sets = shingle_sets(rows, nodes, shared, broadcast_rows)
-    large = written(large_buckets(shared, whole), "large")
-    pairs = small_bucket_pairs(shared, whole, similarity).unionByName(first_pairs(large, similarity)).distinct()
+    large = written(large_buckets(shared, nodes, whole), "large")
+    pairs = small_bucket_pairs(shared, whole, similarity).unionByName(neighbours(large.withColumn("root", F.col("node")), 0, similarity)).distinct()
     links = written(check(pairs, sets, similarity), "checked")
     if large.isEmpty():
         return links
     labelled = label(large, links)
-    mixed = mixed_buckets(labelled)
-    if mixed.isEmpty():
-        return links
-    links = written(links.unionByName(check(leader_pairs(labelled, mixed, similarity), sets, similarity)).distinct(), "checked")
+    links = written(links.unionByName(check(neighbours(labelled, 3, similarity), sets, similarity)), "checked")
     labelled = label(large, links)
     mixed = mixed_buckets(labelled)
     if mixed.isEmpty():
         return links
     fresh = check(crossing_pairs(open_nodes(labelled, mixed), sets, similarity, broadcast_rows), sets, similarity)
-    return written(links.unionByName(fresh).distinct(), "checked")
+    return written(links.unionByName(fresh), "checked")
 
 
 def near_duplicates(

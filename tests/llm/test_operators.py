@@ -335,7 +335,7 @@ def test_near_duplicate_classes(edge, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_large_buckets_go_on_by_leaders(spark):
+def test_large_buckets_go_on_by_neighbours(spark):
     base = letters(7, 200).split()
     rows = []
     for i in range(60):  # one family that isn't linked throughout: neighbours are, its ends aren't
@@ -378,6 +378,25 @@ def test_prefixes_miss_no_pair(spark):
     assert wanted and {tuple(r) for r in found.collect()} == wanted
 
 
+def test_classes_of_a_corpus_against_all_pairs(spark):
+    """No link between texts is lost: shared shingles are counted for all pairs, large families included."""
+    base = letters(11, 150).split()
+    rows = [(f"{i}", letters(2000 + i, 40)) for i in range(200)]
+    pick = np.random.default_rng(5)
+    for i in range(150):  # pairs of a family are like each other about the threshold
+        words = list(base)
+        for j in pick.choice(150, 1 + i % 3, replace=False):
+            words[j] = f"changed{i}x{j}"
+        rows.append((f"f{i}", " ".join(words)))
+    passage = letters(12, 60)
+    rows += [(f"p{i}", f"{letters(3000 + i, 12)} {passage} {letters(4000 + i, 12 + i % 40)}") for i in range(100)]
+    got = near_dedup.near_duplicates(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string"), whole=8)
+    found = sorted(map(tuple, got.select("doc_id", "class_id", "class_size").collect()))
+    assert found == classes([(i, t) for i, (_, t) in enumerate(rows)])
+    sizes = sorted(size for size in {(c, n) for _, c, n in found})
+    assert max(n for _, n in sizes) > 20 and sum(n == 1 for _, n in sizes) > 200
+
+
 def test_one_row_of_each_class_stays(edge):
     kept = near_dedup.drop_near_duplicates(edge)
     assert kept.columns == edge.columns
