@@ -241,7 +241,8 @@ def neighbours(labelled: DataFrame, shift: int, similarity: float) -> DataFrame:
             near = (bucket[x] == bucket[y]) & (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * similarity)
             yield pa.RecordBatch.from_arrays([pa.array(f(node[x], node[y])[near]) for f in (np.minimum, np.maximum)], names=["a", "b"])
 
-    rows = labelled.select("node", "n", "root", "bands", "buckets").mapInArrow(order, ", ".join(f"{c} bigint" for c in names))
+    # written, since dealing out by ranges reads the rows twice
+    rows = written(labelled.select("node", "n", "root", "bands", "buckets").mapInArrow(order, ", ".join(f"{c} bigint" for c in names)), "ordered")
     dealt = rows.repartitionByRange(*names[:5]).sortWithinPartitions(*names[:5])
     return dealt.select("bucket", "node", "n", "root").mapInArrow(compare, "a bigint, b bigint").distinct()
 
