@@ -63,7 +63,7 @@ def sample(x: Column, log_weight: Column, gamma: Column, log_gamma: Column) -> C
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str, samples: int = 64, width: int = 8) -> DataFrame:
-    """keys and sig (array of ``samples`` 32-bit numbers) of texts, one row for each key with a word in its text.
+    """keys and sig (array of ``samples`` ints, the 32-bit numbers less 2 ** 31) of texts, one row for each key with a word.
 
     ``keys`` must identify the rows. If texts are already dealt out by some of the keys, nothing is shuffled.
     """
@@ -79,7 +79,7 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str, samples: int = 64
     hashed = lanes.select(*keys, "lane", "log_weight", "gamma", "log_gamma", *[F.xxhash64("term", F.col("lane") * width + i).alias(f"x{i}") for i in range(width)])
     least = [F.min(sample(F.col(f"x{i}"), F.col("log_weight"), F.col("gamma"), F.col("log_gamma"))).alias(f"s{i}") for i in range(width)]
     kept = hashed.groupBy(*keys, "lane").agg(*least)
-    part = F.struct("lane", F.array(*[F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) for i in range(width)]).alias("s"))
+    part = F.struct("lane", F.array(*[(F.col(f"s{i}").bitwiseAND(F.lit(0xFFFFFFFF)) - (1 << 31)).cast("int") for i in range(width)]).alias("s"))
     parts = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("p"))
     return parts.select(*keys, F.slice(F.flatten("p.s"), 1, samples).alias("sig"))
 
@@ -92,7 +92,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def as_text(sig: Column) -> Column:
     """Eight hex digits a sample; empty for a text without words."""
-    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x.cast("bigint") + (1 << 31))), 8, "0")), ""), F.lit(""))
 
 
 def _ordered(keys: DataFrame, bucket: int) -> DataFrame:
