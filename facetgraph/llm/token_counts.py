@@ -22,17 +22,19 @@ _automata: dict[tuple, PieceCounter] = {}
 
 
 def load_pieces(path: str, marker: str = "▁") -> tuple[list[str], list[str]]:
-    """Word-initial pieces (without the marker) and inner pieces of a sentencepiece vocabulary."""
+    """Word-initial pieces (without the marker, which alone is '') and inner pieces of a sentencepiece vocabulary."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     usual = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    initial = [p[len(marker) :] for p in usual if p.startswith(marker)]
-    return [p for p in initial if p], [p for p in usual if not p.startswith(marker)]
+    return [p[len(marker) :] for p in usual if p.startswith(marker)], [p for p in usual if not p.startswith(marker)]
 
 
 class PieceCounter:
-    """Counts of greedy longest-match pieces of a word; a word that can't be spelt counts as one unknown."""
+    """Counts of greedy longest-match pieces of a word; a word that can't be spelt counts as one unknown.
+
+    With '' among the initial pieces a word may start with the bare marker, a piece of its own, and go on with inner ones.
+    """
 
     INITIAL, INNER = 0, 1  # the two roots
 
@@ -52,6 +54,8 @@ class PieceCounter:
                 whole[node] = True
         # fail[v]: the node from which the match goes on, -1 if it can't; popped[v]: pieces that are done by then
         self.fail, self.popped = [-1] * len(whole), [0] * len(whole)
+        if whole[self.INITIAL]:
+            self.fail[self.INITIAL], self.popped[self.INITIAL] = self.INNER, 1
         queue = deque([self.INITIAL, self.INNER])
         while queue:
             parent = queue.popleft()
