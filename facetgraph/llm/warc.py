@@ -56,7 +56,7 @@ def warc_record(page_id: int | None, url: str | None, when: datetime, payload: b
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
     lines += [f"WARC-Date: {when:%Y-%m-%dT%H:%M:%SZ}", f"WARC-Target-URI: {_header_value(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
     else:
         block += payload
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
