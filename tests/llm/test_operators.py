@@ -173,6 +173,31 @@ def test_edited_texts_and_likeness(edge, empty):
         t, n = texts[i], texts[i - 1]
         k = len(t) // 3
         assert plain[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()
+    # down to id 2, whose next is one of the texts of id 1; the last row's next is the first
+    digest = lambda t, n: hashlib.sha256((t[: len(t) - len(t) // 3] + n[: len(t) // 3]).encode()).hexdigest()
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], []).append(r)
+    chain = [100, *range(12, 1, -1)]
+    whole = {i: [t or "" for d, t, *_ in edge_rows() if d == i] for i in [*chain, 1, 139, None]}
+    for i, n in zip(chain, [*chain[1:], 1], strict=True):
+        assert found[i][0]["edited_sha256"] in {digest(whole[i][0], x) for x in whole[n]}, i
+    assert {r["edited_sha256"] for r in found[None]} & {digest(x, whole[139][0]) for x in whole[None]}
+    assert sorted(r["n_chars"] for r in found[1]) == sorted(map(len, whole[1])) and found[4][0]["edited_fingerprint"] == ""
+    # likeness follows the generalised Jaccard similarity of the weighted words
+    weight = lambda t: {w: c * (0.25 + max(len(w) - 2, 0) ** 2) for w, c in Counter(WORD.findall(t)).items()}
+
+    def likeness_of(a, b):
+        a, b = weight(a), weight(b)
+        both = sum(min(a[w], b[w]) for w in a.keys() & b.keys())
+        return both / max(sum(a.values()) + sum(b.values()) - both, 1e-9)
+
+    off = []
+    for i in range(101, 140):
+        t, n = texts[i], texts[i - 1]
+        edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+        off += [plain[i]["near_edited"] - likeness_of(t, edited), plain[i]["near_next"] - likeness_of(t, n)]
+    assert max(map(abs, off)) < 0.3 and abs(sum(off) / len(off)) < 0.03
     same = {r["fingerprint"] for r in got if r["doc_id"] in (10, 11)}
     assert len(same) == 1
     assert fingerprint_edits(empty).count() == 0
@@ -421,14 +446,17 @@ def test_components(spark):
 
 
 def test_counts_are_greedy(edge, empty):
-    initial, inner = (set(x) for x in token_counts.load_pieces(PIECES))
-    longest = max(map(len, initial | inner))
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=PIECES)
+    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    longest = max(map(len, pieces))
 
     def greedy(word):
-        at = n = 0
+        word, at, n = "\u2581" + word, 0, 0
         while at < len(word):
-            pieces = inner if at else initial
-            step = next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in pieces), 0)
+            # inside a word the marker is a letter, which only pieces with the marker further in hold
+            step = next((k for k in range(min(longest, len(word) - at), 0, -1) if word[at : at + k] in pieces and not (at and word[at] == "\u2581")), 0)
             if not step:
                 return None
             at, n = at + step, n + 1
@@ -440,11 +468,15 @@ def test_counts_are_greedy(edge, empty):
         wanted.append((r[0], len(counts), sum(c or 1 for c in counts), counts.count(None)))
     assert sorted(map(tuple, token_counts.count_tokens(edge, PIECES).collect()), key=key) == sorted(wanted, key=key)
     assert token_counts.count_tokens(empty, PIECES).count() == 0
+    assert greedy("10.20.30.40") and greedy("10.20.30.40") > 5
 
 
 def test_failure_links_on_a_small_vocabulary():
     counter = token_counts.PieceCounter(["a", "abcdx"], ["b", "c", "cdy", "dz"])
-    assert [counter.count(w) for w in ("abcdx", "abcdy", "abcdz", "abc", "abcd", "q", "aq")] == [1, 3, 4, 3, -1, -1, -1]
+    assert [counter.count(w) for w in ("abcdx", "abcdy", "abcdz", "abc", "abcd", "q", "aq", "b")] == [1, 3, 4, 3, -1, -1, -1, -1]
+    bare = token_counts.PieceCounter(["", "ab", "abcx"], ["a", "b", "c"])
+    # "ac" has no initial piece but the marker; "abc" goes on after "ab"
+    assert [bare.count(w) for w in ("ab", "ac", "b", "abc", "abcx", "abca", "x")] == [1, 3, 2, 2, 1, 3, -1]
 
 
 # 7
@@ -587,7 +619,7 @@ def test_all_letters_of_a_run_count():
 
 def test_archives(spark):
     body = "<p>x</p>"
-    rows = [(5, "http://a/", body), (3, "http://b.a/x", body), (3, "http://b.a/x", body), (3, "http://b.a/y", body), (8, None, None), (9, "http://A/ é", ""), (None, "http://n/", "only"), (None, "http://n/", body), (7, "http://www.a/", "ü" * 100_000)]
+    rows = [(5, "http://a/", body), (3, "http://b.a/x", body), (3, "http://b.a/x", body), (3, "http://b.a/y", body), (8, None, None), (9, "http://A/ é", ""), (None, "http://n/", "only"), (None, "http://m/", "only"), (None, "http://n/", body), (7, "http://www.a/", "ü" * 100_000)]
     pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id bigint, url string, html string, size string")
     got = warc.archive_pages(pages, archive_bytes=1 << 12).collect()
     first = {}
