@@ -500,7 +500,8 @@ def train_model(learn: DataFrame, segment_bytes: int = 24 << 20) -> tuple[Model,
     homes = -(-segments // 4)
     folder = new_folder(spark, "ngrams")
     counted = learn.mapInArrow(_count_blocks(segments, homes), "segment int, words binary, pairs binary, texts bigint")
-    rows = written(counted.groupBy("segment").applyInPandas(_build_segment(folder, homes), SEGMENTS), "segments")
+    # as many tasks as segments, so none grows with the corpus
+    rows = written(counted.repartition(segments, "segment").groupBy("segment").applyInPandas(_build_segment(folder, homes), SEGMENTS), "segments")
     parts = written(rows.where("home >= 0").groupBy("home").applyInPandas(_build_home(folder), HOMES), "words")
     pairs = {r["segment"]: (r["file"], r["size"]) for r in rows.where("home = -1").select("segment", "file", "size").toLocalIterator()}
     singles = rows.agg(F.sum("singles")).first()[0] or 0
