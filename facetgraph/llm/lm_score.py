@@ -492,12 +492,12 @@ def _gather(group: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def train_model(learn: DataFrame, segment_bytes: int = 24 << 20) -> tuple[Model, DataFrame]:
+def train_model(learn: DataFrame, segment_bytes: int = 16 << 20) -> tuple[Model, DataFrame]:
     """The model of the column ``text`` (null as empty) and, by home, the exact counts of its words."""
     spark = learn.sparkSession
     octets = learn.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     segments = max(1, -(-octets // segment_bytes))
-    homes = -(-segments // 4)
+    homes = segments
     folder = new_folder(spark, "ngrams")
     counted = learn.mapInArrow(_count_blocks(segments, homes), "segment int, words binary, pairs binary, texts bigint")
     # as many tasks as segments, so none grows with the corpus
@@ -513,7 +513,7 @@ def train_model(learn: DataFrame, segment_bytes: int = 24 << 20) -> tuple[Model,
     return Model(Parts(folder, pairs), Parts(folder, words), segments, homes, total, distinct, prior_weight(singles, histories)), parts
 
 
-def score_documents(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", segment_bytes: int = 24 << 20, hot_share: int = 100_000) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", segment_bytes: int = 16 << 20, hot_share: int = 100_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Tokens are the non-blank runs of the whole text (A-Z lower-cased) and one end. The model learns from the rows that
