@@ -35,8 +35,10 @@ END, BEGIN = b" end", b" begin"  # no word has a blank
 BLOCK_BYTES = 6_000_000
 LOW = np.uint64(28)
 #: Bits asked for the first level of a pair, of a word, for later levels and for the digits of a normaliser. A history has
-#: 2 ** -PAIR_PROBES of the vocabulary as false pairs, so many because rare histories have few true ones.
-PAIR_PROBES, WORD_PROBES, MORE_PROBES, DIGIT_PROBES = 20, 16, 10, 14
+#: some of the vocabulary as false pairs, and rare histories have few true ones, so the first takes the most.
+PAIR_PROBES, WORD_PROBES, MORE_PROBES, DIGIT_PROBES = 25, 15, 10, 15
+#: Bits of one cell; the probes are multiples of it.
+GROUP = 5
 #: Binary digits of a normaliser; their members have the numbers from DIGIT_NUMBER on, beyond all levels.
 DIGITS, DIGIT_NUMBER = 8, 1000
 #: Counts up to this level are exact: 1, 2 and 3.
@@ -64,6 +66,13 @@ def level_of(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, 1 + np.floor(np.log(np.maximum(count, 1)) / np.log(BASE) + 1e-9), 0).astype(np.int64)
 
 
+@functools.cache
+def two_bits() -> np.ndarray:
+    """Two bits of 64, by the 12 bits of their places."""
+    one = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return (one[:, None] | one).reshape(-1)
+
+
 @functools.cache
 def counts_of_levels(top: int = 130) -> np.ndarray:
     """The mean of the counts that a level stands for; 0 for level 0."""
@@ -75,40 +84,44 @@ def counts_of_levels(top: int = 130) -> np.ndarray:
 
 
 class FilterPart:
-    """One part of the filter. A member asked with ``probes`` bits is false with a chance of 2 ** -probes."""
+    """One part of the filter, as 64-bit cells. A member of ``probes`` bits has GROUP of them in each of its cells.
+
+    A key that isn't a member is found with a chance of some 2 ** -probes; ``false`` has it for PAIR_PROBES, as measured.
+    """
 
-    def __init__(self, bits: np.ndarray, size: int):
-        self.bits, self.size = bits, np.uint64(size)
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
 
     @staticmethod
-    def start(keys: np.ndarray, number: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        first = mix(keys + np.asarray(number).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        return first, mix(first) | np.uint64(1)
+    def places(keys: np.ndarray, number: np.ndarray | int, turn: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cells, and numbers whose lower bits, 6 by 6, say which bits of them."""
+        x = mix(keys + np.asarray(number).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + np.uint64(turn * 0x9FB21C651E98DF25 % 2**64))
+        return ((x >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32), x
 
     @classmethod
     def build(cls, members: list[tuple[np.ndarray, np.ndarray, int]]) -> FilterPart:
         """Of (keys, numbers, probes)."""
-        size = max(64, -(-int(sum(len(k) * probes for k, _, probes in members) / np.log(2)) // 8) * 8)
-        on = np.zeros(size, dtype=bool)
+        size = max(16, int(np.ceil(sum(len(k) * probes for k, _, probes in members) / np.log(2) / 64)))
+        on = np.zeros((size, 64), dtype=bool)
         for keys, numbers, probes in members:
             for at in range(0, len(keys), 500_000):
-                place, step = cls.start(keys[at : at + 500_000], numbers[at : at + 500_000])
-                for _ in range(probes):
-                    on[((place >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)] = True
-                    place = place + step
-        return cls(np.packbits(on, bitorder="little"), size)
+                for turn in range(probes // GROUP):
+                    cell, x = cls.places(keys[at : at + 500_000], numbers[at : at + 500_000], turn, size)
+                    for i in range(GROUP):
+                        on[cell, (x >> np.uint64(6 * i)) & np.uint64(63)] = True
+        part = cls(np.packbits(on.reshape(-1), bitorder="little").view(np.uint64))
+        part.false = float((on.mean(axis=1) ** GROUP).mean() ** (PAIR_PROBES // GROUP))
+        return part
 
     def has(self, keys: np.ndarray, number: int, probes: int) -> np.ndarray:
         """Whether (key, number) is a member, for each key."""
-        alive = np.arange(len(keys))
-        place, step = self.start(keys, number)
-        for _ in range(probes):
-            at = ((place >> np.uint64(32)) * self.size) >> np.uint64(32)
-            hit = ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        out, alive, two = np.zeros(len(keys), dtype=bool), np.arange(len(keys)), two_bits()
+        for turn in range(probes // GROUP):
+            cell, x = self.places(keys, number, turn, len(self.cells))
+            mask = two[x & np.uint64(4095)] | two[(x >> np.uint64(12)) & np.uint64(4095)] | (np.uint64(1) << ((x >> np.uint64(24)) & np.uint64(63)))
+            hit = self.cells[cell] & mask == mask
             if not hit.all():
-                alive, place, step = alive[hit], place[hit], step[hit]
-            place = place + step
-        out = np.zeros(len(keys), dtype=bool)
+                alive, keys = alive[hit], keys[hit]
         out[alive] = True
         return out
 
@@ -137,7 +150,7 @@ def ratio_digits(ratio: np.ndarray) -> np.ndarray:
 class Parts:
     """Parts of a filter by number, from files of the shared folder; ``kept`` bytes stay if the folder isn't mounted."""
 
-    def __init__(self, folder: str, files: dict[int, tuple[str, int]], kept: int = 1 << 28):
+    def __init__(self, folder: str, files: dict[int, str], kept: int = 1 << 28):
         self.folder, self.files, self.kept = folder, files, kept
         self.held: OrderedDict[int, FilterPart] = OrderedDict()
 
@@ -154,27 +167,27 @@ class Parts:
             self.held.move_to_end(number)
             return self.held[number]
         system, path = fs.FileSystem.from_uri(self.folder)
-        name, size = self.files[number]
+        name = self.files[number]
         if isinstance(system, fs.LocalFileSystem):
-            bits = np.memmap(f"{path}/{name}", dtype=np.uint8, mode="r")
+            cells = np.asarray(np.memmap(f"{path}/{name}", dtype=np.uint64, mode="r"))
         else:
             with system.open_input_stream(f"{path}/{name}", compression=None) as stream:
-                bits = np.frombuffer(stream.read(), dtype=np.uint8)
-            while self.held and sum(len(p.bits) for p in self.held.values()) + len(bits) > self.kept:
+                cells = np.frombuffer(stream.read(), dtype=np.uint64)
+            while self.held and sum(p.cells.nbytes for p in self.held.values()) + cells.nbytes > self.kept:
                 self.held.popitem(last=False)
-        self.held[number] = FilterPart(bits, size)
+        self.held[number] = FilterPart(cells)
         return self.held[number]
 
 
 def write_part(folder: str, part: FilterPart) -> str:
-    """The part's bits as a new file; its name. A task that runs again writes another file, and only the last is named."""
+    """The part's cells as a new file; its name. A task that runs again writes another file, and only the last is named."""
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path)
     name = uuid.uuid4().hex
     with system.open_output_stream(f"{path}/{name}", compression=None) as out:
-        out.write(part.bits)
+        out.write(part.cells)
     return name
 
 
@@ -295,8 +308,8 @@ def _sum_blobs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
-SEGMENTS = "segment int, home int, words binary, sums binary, texts bigint, file string, size bigint, singles bigint"
-HOMES = "home int, counts binary, file string, size bigint, n_words bigint, n_tokens bigint, quantised double, histories binary"
+SEGMENTS = "segment int, home int, words binary, sums binary, texts bigint, file string, false double, singles bigint"
+HOMES = "home int, counts binary, file string, n_words bigint, n_tokens bigint, quantised double, histories binary"
 
 
 def _build_segment(folder: str, homes: int):
@@ -306,17 +319,17 @@ def _build_segment(folder: str, homes: int):
         segment = int(group["segment"].iloc[0])
         pairs, times = _sum_blobs(group["pairs"].tolist())
         part = FilterPart.build(level_members(pairs, times, PAIR_PROBES))
-        out = [(segment, -1, b"", b"", 0, write_part(folder, part), int(part.size), int((times == 1).sum()))]
+        out = [(segment, -1, b"", b"", 0, write_part(folder, part), part.false, int((times == 1).sum()))]
         if len(pairs):
             history = pairs >> LOW
             first = np.flatnonzero(np.concatenate([[True], history[1:] != history[:-1]]))
             sums = np.add.reduceat(doubled_counts()[level_of(times)], first)
             history = history[first]
-            out += [(segment, home, b"", pack_keys(keys, sums[at]), 0, "", 0, 0) for home, keys, at in split(history, home_of(history << LOW, homes))]
+            out += [(segment, home, b"", pack_keys(keys, sums[at]), 0, "", 0.0, 0) for home, keys, at in split(history, home_of(history << LOW, homes))]
         words, counts = _sum_blobs(group["words"].tolist())
         texts = int(group["texts"].sum())
         if len(words) or texts:
-            out.append((segment, segment, pack(words, counts), b"", texts, "", 0, 0))
+            out.append((segment, segment, pack(words, counts), b"", texts, "", 0.0, 0))
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in SEGMENTS.split(", ")])
 
     return build
@@ -345,7 +358,7 @@ def _build_home(folder: str):
         part = FilterPart.build(members)
         quantised = float(counts_of_levels()[level_of(counts)].sum())
         histories = np.bincount(levels[total > 0], minlength=len(counts_of_levels()))
-        row = (int(group["home"].iloc[0]), pack(words, counts), write_part(folder, part), int(part.size), len(words), int(counts.sum()), quantised, pickle.dumps(histories))
+        row = (int(group["home"].iloc[0]), pack(words, counts), write_part(folder, part), len(words), int(counts.sum()), quantised, pickle.dumps(histories))
         return pd.DataFrame([row], columns=[c.split(" ")[0] for c in HOMES.split(", ")])
 
     return build
@@ -379,9 +392,9 @@ def prior_weight(singles: int, histories: np.ndarray) -> float:
 class Model:
     """The filter's parts, totals and m; log10 probabilities of a block's documents."""
 
-    def __init__(self, pairs: Parts, words: Parts, segments: int, homes: int, total: float, distinct: int, prior: float):
+    def __init__(self, pairs: Parts, words: Parts, segments: int, homes: int, total: float, distinct: int, prior: float, false: float):
         self.pairs, self.words, self.segments, self.homes = pairs, words, segments, homes
-        self.total, self.distinct, self.prior = total, distinct, prior
+        self.total, self.distinct, self.prior, self.false = total, distinct, prior, distinct * false
 
     def word_levels(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The level of each word, and S of it as a history."""
@@ -413,7 +426,7 @@ class Model:
         found = np.zeros(len(keys), dtype=np.int64)
         maybe = np.flatnonzero((levels[history] > 0) & (levels[word] > 0))
         found[maybe] = np.minimum(self.pair_levels(keys[maybe]), np.minimum(levels[history[maybe]], levels[word[maybe]]))
-        false = np.where(levels[history] > 0, self.distinct * 2.0**-PAIR_PROBES, 0.0)
+        false = np.where(levels[history] > 0, self.false, 0.0)
         return np.log10((table[found] + self.prior * single) / (sums[history] + self.prior + false))
 
     def score(self, block: Block) -> np.ndarray:
@@ -503,14 +516,14 @@ def train_model(learn: DataFrame, segment_bytes: int = 16 << 20) -> tuple[Model,
     # as many tasks as segments, so none grows with the corpus
     rows = written(counted.repartition(segments, "segment").groupBy("segment").applyInPandas(_build_segment(folder, homes), SEGMENTS), "segments")
     parts = written(rows.where("home >= 0").groupBy("home").applyInPandas(_build_home(folder), HOMES), "words")
-    pairs = {r["segment"]: (r["file"], r["size"]) for r in rows.where("home = -1").select("segment", "file", "size").toLocalIterator()}
-    singles = rows.agg(F.sum("singles")).first()[0] or 0
+    pairs = {r["segment"]: r["file"] for r in rows.where("home = -1").select("segment", "file").orderBy("segment").toLocalIterator()}
+    singles, false = rows.where("home = -1").agg(F.sum("singles"), F.avg("false")).first()
     remove(spark, rows.written_path)
     words, total, distinct, histories = {}, 0.0, 0, np.zeros(len(counts_of_levels()), dtype=np.int64)
     for r in parts.drop("counts").orderBy("home").toLocalIterator():
-        words[r["home"]] = (r["file"], r["size"])
+        words[r["home"]] = r["file"]
         total, distinct, histories = total + r["quantised"], distinct + r["n_words"], histories + pickle.loads(r["histories"])
-    return Model(Parts(folder, pairs), Parts(folder, words), segments, homes, total, distinct, prior_weight(singles, histories)), parts
+    return Model(Parts(folder, pairs), Parts(folder, words), segments, homes, total, distinct, prior_weight(singles or 0, histories), false or 0.0), parts
 
 
 def score_documents(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: str = "text", segment_bytes: int = 16 << 20, hot_share: int = 100_000) -> DataFrame:

@@ -49,10 +49,10 @@ def test_nothing_to_learn_from(edge):
 
 def test_filter_gives_back_levels():
     keys, counts = np.arange(1, 5001, dtype=np.uint64) * np.uint64(977), np.arange(1, 5001)
-    part = lm_score.FilterPart.build(lm_score.level_members(keys, counts, 12))
-    assert (part.levels(keys, 12) >= lm_score.level_of(counts)).all()
-    assert (part.levels(keys, 12) == lm_score.level_of(counts)).mean() > 0.98
-    assert (part.levels(keys + np.uint64(1), 12) > 0).mean() < 0.002
+    part = lm_score.FilterPart.build(lm_score.level_members(keys, counts, 15))
+    assert (part.levels(keys, 15) >= lm_score.level_of(counts)).all()
+    assert (part.levels(keys, 15) == lm_score.level_of(counts)).mean() > 0.98
+    assert (part.levels(keys + np.uint64(1), 15) > 0).mean() < 0.002
 
 
 def corpus(seed: int, texts: int) -> list[str]:
@@ -88,6 +88,7 @@ def test_scores_against_exact_tables_of_the_same_model(spark):
     for (h, _), c in pairs.items():
         sums[h] += quantised(c)
     total = sum(map(quantised, words.values()))
+    assert 0 < model.false / len(words) < 1e-6
     # m where the singletons balance, by steps
     own = Counter({h: c for h, c in words.items() if h is not None}) + Counter({0: len(train)})
     singles = sum(c == 1 for c in pairs.values()) - sum(c == 1 for c in own.values())
@@ -99,7 +100,7 @@ def test_scores_against_exact_tables_of_the_same_model(spark):
         for h, w in zip([0, *tokens], tokens, strict=False):
             single = (quantised(words[w]) + 1) / (total + len(words) + 1)
             seen = own[h] > 0
-            log += math.log10((quantised(pairs[h, w]) + model.prior * single) / (sums[h] + model.prior + seen * len(words) / 2**20))
+            log += math.log10((quantised(pairs[h, w]) + model.prior * single) / (sums[h] + model.prior + seen * model.false))
         off.append(abs(got[i] - log) / len(tokens))
     # a few members in a thousand are false by one level
     assert np.median(off) < 0.0005 and max(off) < 0.005
@@ -118,7 +119,7 @@ def test_probabilities_sum_to_one(spark):
         h = block.numbers[name.encode()]
         history = np.full(len(ids), h)
         log = model.log_probabilities(block.pair_keys(history * n + ids), history, ids, levels, sums)
-        other = model.prior * unseen / (sums[h] + model.prior + model.distinct * 2.0**-lm_score.PAIR_PROBES)
+        other = model.prior * unseen / (sums[h] + model.prior + model.false)
         assert (10.0**log).sum() + other == pytest.approx(1, abs=0.01), name
     unknown = lm_score.Block([b"absent " + b" ".join(sorted(w.encode() for w in words))])
     levels, sums = model.word_levels(unknown.hashes)
