@@ -21,21 +21,32 @@ LEAST_SURE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those of no language with LEAST_SURE of their letters."""
+    """Drops documents without a letter (null, empty and blank texts too) and those of no language with LEAST_SURE of their letters.
+
+    Each row is judged by its own whole text, so repeated rows and ties of doc_id share a fate; null ids stay, and count
+    as training rows where crc32 of '' says so; a table without labelled rows has one language, and an empty one no rows.
+    """
     model = train_language_model(docs, ~held_out("doc_id", 4))
     judged = predict_language(docs, model, keep_rows=True)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SURE)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: the one of least doc_id.
+
+    Repeated rows are copies, so one stays; ties of one doc_id with different texts are documents of their own, and a tie
+    inside a class goes to the least key of the text. Null texts are copies of empty ones; a null id stays only where
+    its class has no other. Empty tables stay empty; columns stay whatever their names.
+    """
     return drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one a source's budget ends in is cut to the words taken.
 
-    Documents that labels call good are drawn first more often, bad ones less; without labels all weigh the same.
+    Documents that labels call good are drawn first more often, bad ones less; without labels all weigh the same. Null
+    sources are one source, the last; null and blank texts have no words and go; ties and repeated rows are drawn each by
+    itself in the order of their hashed keys; an empty table stays empty.
     """
     try:
         quality = label_quality(table(spark, sf_dir, "labels"))
@@ -47,7 +58,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens. Null texts are empty and have the end token alone; repeated rows and ties are
+    packed each by itself; null ids stay null; an empty table gives no rows."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
