@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_audio": op8_audio,
         "op9_language": op9_language,
         "op10_warc": op10_warc,
-        "pipeline": corpus_pipeline.run,
     }
 
 
