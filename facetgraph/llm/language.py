@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 BITS = 16
 #: Letters in a chain position at most: longer runs, as of scripts without blanks, are several positions.
 PIECE = 48
+#: Bytes of text judged at a time; a longer text is judged alone.
+PART_BYTES = 8_000_000
 PREDICTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_switches", T.LongType())])
 
 
@@ -238,16 +241,20 @@ def predict_language(docs: DataFrame, model: CrfModel, *, doc_id: str = "doc_id"
     pass through; other columns are not read; an empty table gives no rows. ``keep_rows`` gives the
     whole row as a struct, ``row``, in place of doc_id. No shuffle.
     """
-    first = F.struct("*").alias("row") if keep_rows else F.col(doc_id).cast("bigint").alias("doc_id")
-    rows = docs.select(first, F.col(text).alias("text"))
+    # a kept row has its text inside, which needn't come twice
+    rows = docs.select(F.struct("*").alias("row")) if keep_rows else docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    place = docs.columns.index(text) if keep_rows else None
     schema = T.StructType([rows.schema.fields[0], *PREDICTED.fields[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.asarray([*model.labels, "und"], dtype=object)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                texts = [word_pieces(t) for t in part.column(1).to_pylist()]
+            column = batch.column(1) if place is None else batch.column(0).field(place)
+            ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy()) // PART_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(at, end - at)
+                texts = [word_pieces(t) for t in column.slice(at, end - at).to_pylist()]
                 if model.labels:
                     best, share, switches = model.predict(texts)
                 else:

@@ -385,10 +385,15 @@ def check(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pair.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
 
 
-def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [text_key(words_of(t)) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary())], names=["row", "id", "text_key"])
+def _with_keys(place: int):
+    """Adds the key of the text, which is the row's column number ``place``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [text_key(words_of(t.as_py())) for t in batch.column(0).field(place)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary())], names=["row", "id", "text_key"])
+
+    return run
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -401,8 +406,8 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     firsts = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_root").agg(F.min("text_key").alias("k"), F.first("class_id").alias("of"))
     once = found.groupBy("text_key", "doc_id").count().where("count > 1").select(F.col("text_key").alias("k2"), F.col("doc_id").alias("of2"))
     kept = firsts.join(once, (F.col("k") == F.col("k2")) & F.col("of").eqNullSafe(F.col("of2")), "left").select("k", "of", F.col("k2").isNotNull().alias("again"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("bigint").alias("id"))
     schema = T.StructType([rows.schema["row"], rows.schema["id"], T.StructField("text_key", T.BinaryType())])
-    chosen = rows.mapInArrow(_with_keys, schema).join(kept, (F.col("text_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("of")))
+    chosen = rows.mapInArrow(_with_keys(docs.columns.index(text)), schema).join(kept, (F.col("text_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("of")))
     several = chosen.where("again").groupBy("k").agg(F.any_value("row").alias("row"))
     return chosen.where("not again").select("row.*").unionByName(several.select("row.*"))

@@ -52,7 +52,7 @@ class ChunkEncoder:
     is asked for each new run; any other chunk is given to the whole tokenizer as it stands.
     """
 
-    def __init__(self, path: str, entries: int = 1_000_000):
+    def __init__(self, path: str, entries: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -83,6 +83,10 @@ class ChunkEncoder:
                 return b"".join(map(self._run, _SPLIT.findall(lower)))
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.runs.clear()
+
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The texts' ids, in order; new chunks of about a million characters of text are looked up together."""
         ends = np.cumsum([len(t or "") for t in texts]) // 1_000_000
@@ -90,8 +94,7 @@ class ChunkEncoder:
             lists = [_words(texts[i]) for i in part]
             missing = set().union(*lists).difference(self.chunks)
             if len(self.chunks) + len(missing) > self.entries:
-                self.chunks.clear()
-                self.runs.clear()
+                self.forget()
                 missing = set().union(*lists)
             chunks = self.chunks
             for chunk in missing:
@@ -120,11 +123,11 @@ def _cut(path: str, capacity: int, end_id: int):
 
         context = TaskContext.get()
         serial = (context.partitionId() if context else 0) << 36
-        encode = encoder(path).encode
+        own = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             texts = batch.column(1).to_pylist()
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
                 ids += tail
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
@@ -133,6 +136,7 @@ def _cut(path: str, capacity: int, end_id: int):
                     serial += 1
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=PIECES.names)
+        own.forget()  # the worker goes on to other tasks
 
     return cut
 
