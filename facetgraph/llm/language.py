@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetgraph.llm.common import tidy
+
 BITS = 16
 #: Letters in a chain position at most: longer runs, as of scripts without blanks, are several positions.
 PIECE = 48
@@ -261,4 +263,4 @@ def predict_language(docs: DataFrame, model: CrfModel, *, doc_id: str = "doc_id"
                     best, share, switches = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(share), pa.array(switches)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

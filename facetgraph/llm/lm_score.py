@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetgraph.llm.common import new_folder, remove, written
+from facetgraph.llm.common import give_back, new_folder, remove, tidy, written
 
 BASE = 2**0.5
 END, BEGIN = b" end", b" begin"  # no word has a blank
@@ -250,6 +250,7 @@ class Block:
         self.tokens = np.concatenate([np.asarray(x, dtype=np.int64) for x in lists]) if lists else np.zeros(0, dtype=np.int64)
         begin = number(BEGIN)
         self.hashes = np.asarray([xxhash.xxh64_intdigest(w) for w in self.numbers], dtype=np.uint64)
+        self.numbers.default_factory = None  # it holds the dictionary, which would live until the collector came by
         self.starts = np.cumsum(self.sizes) - self.sizes
         before = np.concatenate([[begin], self.tokens[:-1]])
         before[self.starts] = begin
@@ -330,6 +331,7 @@ def _build_segment(folder: str, homes: int):
         texts = int(group["texts"].sum())
         if len(words) or texts:
             out.append((segment, segment, pack(words, counts), b"", texts, "", 0.0, 0))
+        give_back()
         return pd.DataFrame(out, columns=[c.split(" ")[0] for c in SEGMENTS.split(", ")])
 
     return build
@@ -512,7 +514,7 @@ def train_model(learn: DataFrame, segment_bytes: int = 16 << 20) -> tuple[Model,
     segments = max(1, -(-octets // segment_bytes))
     homes = segments
     folder = new_folder(spark, "ngrams")
-    counted = learn.mapInArrow(_count_blocks(segments, homes), "segment int, words binary, pairs binary, texts bigint")
+    counted = learn.mapInArrow(tidy(_count_blocks(segments, homes)), "segment int, words binary, pairs binary, texts bigint")
     # as many tasks as segments, so none grows with the corpus
     rows = written(counted.repartition(segments, "segment").groupBy("segment").applyInPandas(_build_segment(folder, homes), SEGMENTS), "segments")
     parts = written(rows.where("home >= 0").groupBy("home").applyInPandas(_build_home(folder), HOMES), "words")
@@ -554,7 +556,7 @@ def score_documents(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id"
     keys = found["key"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     logs = np.log10(found["n"].to_numpy(dtype=np.float64) + 1)[order]
-    asked = written(rows.mapInArrow(_score_blocks(spark.sparkContext.broadcast(model), keys[order], logs), "block bigint, home int, blob binary"), "asked")
+    asked = written(rows.mapInArrow(tidy(_score_blocks(spark.sparkContext.broadcast(model), keys[order], logs)), "block bigint, home int, blob binary"), "asked")
     wanted = asked.where("home >= 0")
     answers = parts.select("home", "counts").groupBy("home").cogroup(wanted.groupBy("home")).applyInPandas(_answer, "block bigint, home int, blob binary")
     scored = asked.where("home = -1").unionByName(answers).groupBy("block").applyInPandas(_gather, SCORES)

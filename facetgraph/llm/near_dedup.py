@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetgraph.llm.common import written
+from facetgraph.llm.common import tidy, written
 from facetgraph.llm.graph import components
 
 WIDTH = 5
@@ -61,6 +61,7 @@ class Shingles:
         sizes = np.asarray([len(x) for x in lists], dtype=np.int64)
         tokens = np.fromiter((n for x in lists for n in map(number, x)), dtype=np.int64, count=int(sizes.sum()))
         hashes = np.asarray([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64)
+        numbers.default_factory = None  # it holds the dictionary, which would live until the collector came by
         ends = np.repeat(np.cumsum(sizes), sizes)
         owner = np.repeat(np.arange(len(lists)), sizes)
         h = hashes[tokens] if len(tokens) else np.zeros(0, dtype=np.uint64)
@@ -185,7 +186,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
     """bucket, node, n, size of buckets with two nodes or more; sums come before rows meet."""
-    rows = nodes.where("bands is not null").select("node", "bands", "n").mapInArrow(_buckets, "node bigint, bucket bigint, n bigint")
+    rows = nodes.where("bands is not null").select("node", "bands", "n").mapInArrow(tidy(_buckets), "node bigint, bucket bigint, n bigint")
     met = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("bucket", "shared")
     met = written(met, "buckets")
     return written(rows.join(met, F.col("bucket") == F.col("shared")).select("bucket", "node", "n", "size"), "shared")
@@ -242,7 +243,7 @@ def neighbours(labelled: DataFrame, shift: int, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(f(node[x], node[y])[near]) for f in (np.minimum, np.maximum)], names=["a", "b"])
 
     # written, since dealing out by ranges reads the rows twice
-    rows = written(labelled.select("node", "n", "root", "bands", "buckets").mapInArrow(order, ", ".join(f"{c} bigint" for c in names)), "ordered")
+    rows = written(labelled.select("node", "n", "root", "bands", "buckets").mapInArrow(tidy(order), ", ".join(f"{c} bigint" for c in names)), "ordered")
     dealt = rows.repartitionByRange(*names[:5]).sortWithinPartitions(*names[:5])
     return dealt.select("bucket", "node", "n", "root").mapInArrow(compare, "a bigint, b bigint").distinct()
 
@@ -284,7 +285,7 @@ def prefixes(own: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame
                 columns = [part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), n[owner].astype(np.int64), key, place.astype(np.int32), place < short[owner]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=["node", "root", "n", "key", "place", "short"])
 
-    return own.mapInArrow(run, "node bigint, root bigint, n bigint, key bigint, place int, short boolean")
+    return own.mapInArrow(tidy(run), "node bigint, root bigint, n bigint, key bigint, place int, short boolean")
 
 
 def crossing_pairs(nodes: DataFrame, sets: DataFrame, similarity: float, broadcast_rows: int) -> DataFrame:
@@ -348,7 +349,7 @@ def near_duplicates(
     gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(rows.mapInArrow(_sign, "doc_id bigint, text_key binary, n bigint, bands binary"), "signatures")
+    signed = written(rows.mapInArrow(tidy(_sign), "doc_id bigint, text_key binary, n bigint, bands binary"), "signatures")
     nodes = signed.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     found = components(all_links(rows, nodes, similarity, whole, broadcast_rows))
@@ -373,7 +374,7 @@ def shingle_sets(rows: DataFrame, nodes: DataFrame, shared: DataFrame, broadcast
     if wanted.count() <= broadcast_rows:
         ids = F.broadcast(ids)  # at most broadcast_rows longs
     texts = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "text_key binary, shingles array<bigint>").join(wanted, F.col("text_key") == F.col("k"))
+    sets = texts.mapInArrow(tidy(_sets), "text_key binary, shingles array<bigint>").join(wanted, F.col("text_key") == F.col("k"))
     return written(sets.groupBy("node").agg(F.any_value("shingles").alias("s")), "sets")
 
 
@@ -408,6 +409,6 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     kept = firsts.join(once, (F.col("k") == F.col("k2")) & F.col("of").eqNullSafe(F.col("of2")), "left").select("k", "of", F.col("k2").isNotNull().alias("again"))
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("bigint").alias("id"))
     schema = T.StructType([rows.schema["row"], rows.schema["id"], T.StructField("text_key", T.BinaryType())])
-    chosen = rows.mapInArrow(_with_keys(docs.columns.index(text)), schema).join(kept, (F.col("text_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("of")))
+    chosen = rows.mapInArrow(tidy(_with_keys(docs.columns.index(text))), schema).join(kept, (F.col("text_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("of")))
     several = chosen.where("again").groupBy("k").agg(F.any_value("row").alias("row"))
     return chosen.where("not again").select("row.*").unionByName(several.select("row.*"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetgraph.llm.common import written
+from facetgraph.llm.common import tidy, written
 
 PIECES = T.StructType(
     [
@@ -191,7 +191,7 @@ def pack_documents(
     read. ``group_pieces`` is the mean size of a group.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    pieces = written(rows.mapInArrow(_cut(tokenizer_path, capacity, end_id), PIECES), "pieces")
+    pieces = written(rows.mapInArrow(tidy(_cut(tokenizer_path, capacity, end_id)), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     grouped = pieces.withColumn("pack_group", F.pmod(F.xxhash64("salt"), F.lit(groups)))
     schema = T.StructType([f for f in PIECES.fields if f.name != "salt"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
