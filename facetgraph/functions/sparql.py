@@ -48,6 +48,14 @@ def timezone(lexical: Column) -> Column:
     return F.regexp_extract(lexical, r"(Z|[+-]\d\d:\d\d)$", 1)
 
 
+def zone_duration(x: Column) -> Column:
+    """The time zone of a date and time as a duration; null without one."""
+    tz = timezone(x)
+    hours, minutes = F.substring(tz, F.lit(2), F.lit(2)).try_cast("int"), F.substring(tz, F.lit(5), F.lit(2)).try_cast("int")
+    text = F.concat(F.when(tz.startswith("-"), "-").otherwise(""), F.lit("PT"), F.when(hours > 0, F.concat(hours.cast("string"), F.lit("H"))).otherwise(""), F.when(minutes > 0, F.concat(minutes.cast("string"), F.lit("M"))).otherwise(""))
+    return F.when(tz == "", None).when((tz == "Z") | ((hours == 0) & (minutes == 0)), "PT0S").otherwise(text)
+
+
 #: Name: (least arguments, most arguments or None, function of columns).
 FUNCTIONS: dict[str, tuple[int, int | None, Callable[..., Column]]] = {
     "STR": (1, 1, lambda x: x.cast("string")),
@@ -75,7 +83,8 @@ FUNCTIONS: dict[str, tuple[int, int | None, Callable[..., Column]]] = {
     "MINUTES": (1, 1, lambda x: F.minute(x.try_cast("timestamp"))),
     "SECONDS": (1, 1, lambda x: F.second(x.try_cast("timestamp"))),
     "TZ": (1, 1, timezone),
-    "TIMEZONE": (1, 1, timezone),
+    "TIMEZONE": (1, 1, zone_duration),
+    "BNODE": (0, 1, lambda *x: F.concat(F.lit("b"), *x) if x else F.concat(F.lit("b"), F.replace(F.uuid(), F.lit("-"), F.lit("")))),
     "MD5": (1, 1, F.md5),
     "SHA1": (1, 1, F.sha1),
     "SHA256": (1, 1, lambda x: F.sha2(x, 256)),

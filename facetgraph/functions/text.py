@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: words that carry no meaning in a search
-STOPWORDS = ("a", "an", "and", "for", "from", "in", "of", "on", "or", "the", "to", "with", "by")
+STOPWORDS = ("a", "an", "and", "are", "for", "in", "is", "of", "on", "or", "the", "to", "with")
+# fixed values: words of a gap that suggest nothing
+SUGGESTION_STOPWORDS = ("a", "an", "the", "and", "or", "of", "for", "from", "to", "in", "on", "at", "by", "with", "without", "is", "are", "was", "were", "be", "that", "this", "these", "those", "der", "die", "das", "und", "oder", "mit", "ohne", "aus", "von", "zu")
 
 
 def tokens(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
@@ -51,16 +53,21 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def suggestion_score(query: Column, candidate: Column, floor: float = 0.5) -> Column:
-    """Mean over the query's tokens of the best of edit similarity and containment share; 0 under the floor."""
-    q, c = tokens(query), tokens(candidate)
+    """The best of the query's tokens against the whole candidate; 0 under the floor.
 
-    def covered(x: Column, y: Column) -> Column:
-        short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
-        return F.when((short >= 3) & (F.contains(x, y) | F.contains(y, x)), short / long).otherwise(0.0)
+    A token counts by its edit similarity, or, where its stem and the candidate contain one another, by the share of the
+    longer one covered, if that is more. A query without tokens of three characters is compared as it stands.
+    """
+    whole = F.lower(candidate)
+    parts = F.filter(F.split(F.lower(query), r"[^a-z0-9]+"), lambda t: (F.length(t) >= 3) & ~t.isin(*SUGGESTION_STOPWORDS))
 
-    best = F.transform(q, lambda x: F.coalesce(F.array_max(F.transform(c, lambda y: F.greatest(similarity(x, y), covered(x, y)))), F.lit(0.0)))
-    score = F.aggregate(best, F.lit(0.0), lambda s, v: s + v) / F.size(q)
-    return F.when(F.size(q) == 0, 0.0).when(score >= floor, score).otherwise(0.0)
+    def one(token: Column) -> Column:
+        stem = F.regexp_replace(token, "(ies|es|s)$", "")
+        covered = F.least(F.length(stem), F.length(whole)) / F.greatest(F.length(stem), F.length(whole))
+        return F.greatest(similarity(token, whole), F.when(F.contains(whole, stem) | F.contains(stem, whole), covered).otherwise(0.0))
+
+    score = F.coalesce(F.array_max(F.transform(parts, one)), similarity(F.lower(query), whole))
+    return F.when(score >= floor, score).otherwise(0.0)
 
 
 def local_name(iri: Column) -> Column:

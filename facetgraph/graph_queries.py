@@ -54,9 +54,9 @@ def sparql_union(spark, d):
     return ask(spark, d, "SELECT ?x ?a ?b WHERE { { ?x t:n_name ?a ; t:n_nationkey ?k FILTER(?k < 3) } UNION { ?x t:r_name ?b } }")
 
 
-@query("SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9500)")
+@query("SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
 def sparql_not_exists(spark, d):
-    return ask(spark, d, "SELECT ?name WHERE { ?n t:n_name ?name FILTER NOT EXISTS { ?c t:c_nationkey ?n ; t:c_acctbal ?b FILTER(?b > 9500) } }")
+    return ask(spark, d, "SELECT ?name WHERE { ?n t:n_name ?name FILTER NOT EXISTS { ?c t:c_nationkey ?n ; t:c_acctbal ?b FILTER(?b > 9900) } }")
 
 
 @query("SELECT n_name AS name FROM nation WHERE n_regionkey <> 1")
@@ -79,14 +79,25 @@ def sparql_graph(spark, d):
     return ask(spark, d, "SELECT ?c WHERE { GRAPH <urn:graph:schema> { ?c <urn:s:sub> t:thing } }")
 
 
+@query("SELECT n_name AS name FROM nation")
+def sparql_minus_unbound(spark, d):
+    return ask(spark, d, "SELECT ?name WHERE { ?n t:n_name ?name OPTIONAL { ?n t:nothing ?z } MINUS { ?c t:c_acctbal ?z } }")
+
+
+@query("SELECT c_mktsegment AS seg, count(DISTINCT n_regionkey) AS regions, string_agg(DISTINCT n_regionkey::VARCHAR, ',' ORDER BY n_regionkey::VARCHAR) AS list, min(c_name) AS sample, sum(c_custkey)::BIGINT AS keys, round(avg(DISTINCT n_nationkey), 6) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def sparql_aggregates(spark, d):
+    found = ask(spark, d, "SELECT ?seg (COUNT(DISTINCT ?r) AS ?regions) (GROUP_CONCAT(DISTINCT ?rk; SEPARATOR=',') AS ?list) (SAMPLE(?name) AS ?sample) (SUM(?k) AS ?keys) (AVG(DISTINCT ?nk) AS ?mean) WHERE { ?c t:c_mktsegment ?seg ; t:c_custkey ?k ; t:c_name ?name ; t:c_nationkey ?n . ?n t:n_nationkey ?nk ; t:n_regionkey ?r . ?r t:r_regionkey ?rk } GROUP BY ?seg")
+    return found.withColumns({"regions": F.col("regions").cast("bigint"), "keys": F.col("keys").cast("bigint"), "mean": F.round(F.col("mean").cast("double"), 6)})
+
+
 @query("SELECT 'true' AS result")
 def sparql_ask(spark, d):
     return ask(spark, d, "ASK { ?n t:n_name 'NATION_7' }")
 
 
-@query("SELECT c_name AS name FROM customer WHERE false")
+@query("SELECT c_name AS name, 'number' AS kind FROM customer WHERE c_custkey = 1")
 def sparql_term_equality(spark, d):
-    return ask(spark, d, "SELECT ?name WHERE { ?c t:c_name ?name ; t:c_custkey '1' }")
+    return ask(spark, d, "SELECT ?name ?kind WHERE { { ?c t:c_name ?name ; t:c_custkey '1' BIND('text' AS ?kind) } UNION { ?c t:c_name ?name ; t:c_custkey 1 BIND('number' AS ?kind) } }")
 
 
 @query("SELECT c_name AS name FROM customer WHERE regexp_matches(c_name, '000[0-4]$') ORDER BY 1 DESC LIMIT 7")
@@ -162,17 +173,17 @@ def jsonld_export(spark, d):
     return fl.jsonld_rows(t(spark, d, "supplier"), "s_suppkey", "http://example.test/", ["s_name"])
 
 
-@query("SELECT o_orderkey::VARCHAR AS road_id, o_totalprice AS length, CAST(0 AS INTEGER) AS piece, 0.25::DOUBLE AS hdg, CASE WHEN o_custkey % 2 = 0 THEN 0.01 ELSE 0.0 END::DOUBLE AS curv_start FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey::VARCHAR AS road_id, o_totalprice AS length, CAST(0 AS INTEGER) AS piece, 0.25::DOUBLE AS hdg, CASE WHEN o_custkey % 2 = 0 THEN 0.01 ELSE 0.0 END::DOUBLE AS curv_start FROM orders")
 def xml_roads(spark, d):
-    o = t(spark, d, "orders").where("o_orderkey < 500")
+    o = t(spark, d, "orders")
     arc = F.when(F.col("o_custkey") % 2 == 0, F.lit('<arc curvature="0.01"/>')).otherwise(F.lit("<line/>"))
     xml = F.concat(F.lit('<OpenDRIVE><road id="'), F.col("o_orderkey").cast("string"), F.lit('" length="'), F.col("o_totalprice").cast("string"), F.lit('"><planView><geometry s="0" hdg="0.25" length="2">'), arc, F.lit("</geometry></planView></road></OpenDRIVE>"))
     return fl.roads(o.select(xml.alias("value"))).select("road_id", "length", "piece", "hdg", "curv_start")
 
 
-@query("SELECT event_type AS bundle, 'c1' AS checker, 'i' || event_id AS issue FROM events WHERE event_id < 100")
+@query("SELECT event_type AS bundle, 'c1' AS checker, 'i' || event_id AS issue FROM events")
 def xml_checker_issues(spark, d):
-    e = t(spark, d, "events").where("event_id < 100")
+    e = t(spark, d, "events")
     gaps = e.select(F.col("event_type").alias("gate"), F.lit("c1").alias("checker"), F.concat(F.lit("i"), F.col("event_id").cast("string")).alias("issue"), F.lit("x < y").alias("description"))
     xml = fl.checker_xml(gaps).select(F.concat(F.lit("<Results>"), "xml", F.lit("</Results>")).alias("value"))
     return fl.checker_issues(xml).select("bundle", "checker", "issue")

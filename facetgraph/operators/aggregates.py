@@ -18,13 +18,15 @@ def facets(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def distribution(counts: DataFrame, samples: int = 12) -> DataFrame:
     """property, total, distinct_values, min_value, max_value, top: of facets' counts.
 
-    Bounds only where all values are numbers. top has the most frequent values, ties by value. distinct_values counts
+    Bounds only where all values are of numeric datatypes, of those that are numbers. top has the most frequent values, ties by value. distinct_values counts
     pairs of value and datatype.
     """
-    number = F.col("value").try_cast("double")
+    # fixed values: SQL types and XSD names of numbers
+    numeric = r"(tinyint|smallint|int|bigint|float|double|decimal(\(.*\))?|(.*#)?(integer|decimal|float|double|long|int|short|byte|nonNegativeInteger|positiveInteger|unsignedInt|unsignedLong))"
+    number = F.when(F.regexp_like("datatype", F.lit(f"^{numeric}$")), F.col("value").try_cast("double"))
     order = W.partitionBy("property").orderBy(F.col("n").desc(), "value", "datatype")
     ranked = counts.withColumn("rank", F.row_number().over(order)).withColumn("number", number)
-    all_numbers = F.bool_and(F.col("number").isNotNull())
+    all_numbers = F.bool_and(F.regexp_like("datatype", F.lit(f"^{numeric}$")))
     top = F.array_sort(F.collect_list(F.when(F.col("rank") <= samples, F.struct("rank", "value", "n"))))
     return ranked.groupBy("property").agg(
         F.sum("n").alias("total"),

@@ -154,10 +154,15 @@ def best_match(values: DataFrame, vocabulary: DataFrame, floor: float = 0.8) ->
     return found.unionByName(missing)
 
 
-def suggestions(queries: DataFrame, vocabulary: list[str], k: int = 5, floor: float = 0.5) -> DataFrame:
-    """query, suggestion, score, rank: the k best of a catalog's values of at least ``floor``."""
-    words = F.array(*[F.lit(v) for v in sorted(set(vocabulary))])
-    pairs = queries.select("query").distinct().withColumn("suggestion", F.explode(words))
+def suggestions(queries: DataFrame, vocabulary: DataFrame, k: int = 5, floor: float = 0.5, most: int = 10_000) -> DataFrame:
+    """query, suggestion, score, rank: for each of at most ``most`` queries the k best values (``suggestion``).
+
+    The queries go to the values, which may be any number and stay where they are; each task keeps its k best.
+    """
+    asked = queries.select("query").distinct()
+    if asked.limit(most + 1).count() > most:
+        raise ValueError(f"suggestions takes at most {most} queries at a time")
+    pairs = vocabulary.select("suggestion").distinct().crossJoin(F.broadcast(asked))
     scored = pairs.withColumn("score", suggestion_score(F.col("query"), F.col("suggestion"), floor)).where("score > 0")
     order = W.partitionBy("query").orderBy(F.col("score").desc(), "suggestion")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -55,7 +55,11 @@ class Executor:
         if test is not None:
             on = on & test
         if how == "left_anti":
-            return left.join(renamed, on, "left_anti") if shared else left
+            # a row is taken away only by one that has a variable bound with it
+            bound = F.lit(False)
+            for c in shared:
+                bound = bound | (F.col(c).isNotNull() & F.col(f"__r_{c}").isNotNull())
+            return left.join(renamed, on & bound, "left_anti") if shared else left
         out = left.join(renamed, on, how) if shared or test is not None or how != "inner" else left.crossJoin(renamed)
         for c in shared:
             for name in (c, f"{c}__t"):
@@ -152,15 +156,11 @@ class Executor:
         return rows
 
     def optional(self, rows: DataFrame, right: DataFrame, tests: list) -> DataFrame:
-        if not tests:
-            return self.join(rows, right, "left")
-        tagged = rows.withColumn("__row", F.monotonically_increasing_id()).checkpoint() if self.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rows.withColumn("__row", F.monotonically_increasing_id()).cache()
-        kept = self.join(tagged, right)
+        both, on = set(rows.columns) | set(right.columns), None
         for t in tests:
-            kept = kept.where(F.coalesce(self.truth(t, kept), F.lit(False)))
-        extra = [c for c in kept.columns if c not in tagged.columns]
-        more = kept.select(F.col("__row").alias("__k"), *extra)
-        return tagged.join(more, F.col("__row") == F.col("__k"), "left").drop("__row", "__k")
+            test = F.coalesce(self.truth(t, both), F.lit(False))
+            on = test if on is None else on & test
+        return self.join(rows, right, "left", on)
 
     def filter(self, rows: DataFrame, test) -> DataFrame:
         if isinstance(test, Call) and test.name in ("EXISTS", "NOT EXISTS"):
@@ -222,7 +222,8 @@ class Executor:
         if name in ("IRI", "URI"):
             return self.term(e.args[0], rows)[0], F.lit("u")
         if name == "REPLACE":
-            return F.regexp_replace(self.term(e.args[0], rows)[0], self.term(e.args[1], rows)[0], self.term(e.args[2], rows)[0]), F.lit("l||")
+            value, tag = self.term(e.args[0], rows)
+            return F.regexp_replace(value, self.term(e.args[1], rows)[0], self.term(e.args[2], rows)[0]), self.spoken(tag)
         if self.is_test(e):
             return self.truth(e, rows).cast("string"), F.lit(f"l|{XSD}boolean|")
         if name not in FUNCTIONS:
@@ -230,8 +231,18 @@ class Executor:
         least, most, make = FUNCTIONS[name]
         if len(e.args) < least or most is not None and len(e.args) > most:
             raise SparqlError(f"{name} takes another number of arguments")
-        number = name in ("STRLEN", "ABS", "ROUND", "CEIL", "FLOOR", "YEAR", "MONTH", "DAY", "HOURS", "MINUTES", "SECONDS", "RAND")
-        return make(*[self.term(a, rows)[0] for a in e.args]).cast("string"), F.lit(f"l|{XSD}{'double' if name in ('ABS', 'RAND') else 'integer'}|" if number else "l||")
+        parts = [self.term(a, rows) for a in e.args]
+        made = make(*[p[0] for p in parts]).cast("string")
+        if name in ("ABS", "ROUND", "CEIL", "FLOOR"):  # numbers keep their type
+            whole = parts[0][1] == f"l|{XSD}integer|"
+            return F.when(whole, made.try_cast("decimal(38,0)").cast("string")).otherwise(made), F.when(self.numeric(parts[0][1]), parts[0][1])
+        if name in ("UCASE", "LCASE", "SUBSTR", "STRBEFORE", "STRAFTER"):  # texts keep their language
+            return made, self.spoken(parts[0][1])
+        if name == "BNODE":
+            return made, F.lit("b")
+        kind = {"RAND": "double", "TIMEZONE": "dayTimeDuration", "SECONDS": "decimal"}.get(name)
+        kind = kind or ("integer" if name in ("STRLEN", "YEAR", "MONTH", "DAY", "HOURS", "MINUTES") else None)
+        return made, F.lit(f"l|{XSD}{kind}|" if kind else "l||")
 
     def cast(self, name: str, value: Column) -> tuple[Column, Column]:
         kind = {"integer": "bigint", "decimal": "decimal(38,18)", "float": "float", "double": "double", "boolean": "boolean", "dateTime": "timestamp"}.get(name.removeprefix(XSD), "string")
@@ -246,6 +257,10 @@ class Executor:
     def numeric(self, tag: Column) -> Column:
         return tag.isin(*[f"l|{XSD}{t}|" for t in NUMERIC])
 
+    def spoken(self, tag: Column) -> Column:
+        """The tag of a text made from one of this tag: with its language, if it has one."""
+        return F.when(F.split_part(tag, F.lit("|"), F.lit(3)) != "", tag).otherwise("l||")
+
     def equal(self, a, b) -> Column:
         """Numbers by value, other terms by value, datatype and language."""
         (x, s), (y, t) = a, b
@@ -296,22 +311,33 @@ class Executor:
 
     # queries
 
-    def aggregate(self, call: Call, rows: DataFrame) -> tuple[Column, str]:
+    def aggregate(self, call: Call, rows: DataFrame) -> tuple[Column, Column | str]:
+        """Value and tag; the tag is a column where it depends on the group."""
         if call.name == "COUNT":
             if call.args[0] == "*":
                 return F.count("*").cast("string"), f"l|{XSD}integer|"
             value, tag = self.term(call.args[0], rows)
             return (F.countDistinct(value, tag) if call.distinct else F.count(value)).cast("string"), f"l|{XSD}integer|"
-        value, _ = self.term(call.args[0], rows)
+        value, tag = self.term(call.args[0], rows)
         number = value.try_cast("double")
         if call.name == "GROUP_CONCAT":
             items = F.collect_set(value) if call.distinct else F.collect_list(value)
             return F.array_join(F.array_sort(items), call.separator), "l||"
         if call.name == "SAMPLE":
             return F.min(value), "l||"
-        made = {"SUM": F.sum_distinct if call.distinct else F.sum, "AVG": F.avg}.get(call.name)
-        if made:
-            return made(number).cast("string"), f"l|{XSD}double|"
+        if call.name in ("SUM", "AVG"):
+            whole = F.bool_and(F.coalesce(tag == f"l|{XSD}integer|", F.lit(False)) | value.isNull())
+            if call.distinct:  # distinct terms: 1 and 1.0 are two
+                terms = F.transform(F.collect_set(F.struct(value.alias("v"), tag.alias("t"))), lambda x: x["v"].try_cast("double"))
+                terms = F.filter(terms, lambda x: x.isNotNull())
+                total, count = F.aggregate(F.array_sort(terms), F.lit(0.0), lambda a, x: a + x), F.size(terms)
+            else:
+                total, count = F.coalesce(F.sum(number), F.lit(0.0)), F.count(number)
+            if call.name == "AVG":
+                return F.coalesce(F.try_divide(total, count), F.lit(0.0)).cast("string"), f"l|{XSD}double|"
+            # an exact sum where all are integers
+            exact = total.cast("decimal(38,0)") if call.distinct else F.sum(value.try_cast("decimal(38,0)"))
+            return F.when(whole, F.coalesce(exact, F.lit(0)).cast("string")).otherwise(total.cast("string")), F.when(whole, f"l|{XSD}integer|").otherwise(f"l|{XSD}double|")
         pick = F.min if call.name == "MIN" else F.max
         all_numbers = F.bool_and(number.isNotNull())
         return F.when(all_numbers, pick(number).cast("string")).otherwise(pick(value)), "l||"
@@ -333,8 +359,10 @@ class Executor:
                     made[name], tags[name] = self.aggregate(e, rows)
             for i, test in enumerate(q.having):
                 having.append(self.lift(test, f"__h{i}", made, tags, rows))
-            rows = rows.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*[c.alias(n) for n, c in made.items()] or [F.count("*").alias("__n")])
-            rows = rows.withColumns({f"{n}__t": F.lit(t) for n, t in tags.items()}) if tags else rows
+            wanted = {**made, **{f"{n}__t": t for n, t in tags.items() if not isinstance(t, str)}}
+            rows = rows.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*[c.alias(n) for n, c in wanted.items()] or [F.count("*").alias("__n")])
+            fixed = {f"{n}__t": F.lit(t) for n, t in tags.items() if isinstance(t, str)}
+            rows = rows.withColumns(fixed) if fixed else rows
             for test in having:
                 rows = rows.where(F.coalesce(self.truth(test, rows), F.lit(False)))
             select = tuple((n, Var(n) if isinstance(e, Call) and e.name in AGGREGATES else e) for n, e in select)

@@ -182,3 +182,43 @@ def test_graphql_round_trip():
         with pytest.raises(gq.GraphqlError):
             gq.parse(bad)
     assert "type Customer { name: String! nation: Nation }" in gq.schema_text(lifted_catalog())
+
+
+def _solutions(spark, turtle: str, text: str) -> list[tuple]:
+    quads = rdf.quads_of(spark, f"@prefix e: <urn:e:> . {turtle}", "urn:g")
+    return sorted(map(tuple, run_query(quads, f"PREFIX e: <urn:e:> {text}", terms=True).collect()), key=repr)
+
+
+def test_minus_needs_a_variable_bound_in_both(spark):
+    data = "e:a e:p 1 . e:b e:p 2 . e:b e:q 5 . e:c e:q 5 ."
+    assert len(_solutions(spark, data, "SELECT ?s WHERE { ?s e:p ?o OPTIONAL { ?s e:none ?z } MINUS { ?t e:q ?z } }")) == 2
+    assert [r[0] for r in _solutions(spark, data, "SELECT ?s WHERE { ?s e:p ?o OPTIONAL { ?s e:q ?z } MINUS { ?t e:q ?z } }")] == ["urn:e:a"]
+
+
+def test_sums_keep_integers_and_distinct_terms_differ(spark):
+    data = "e:a e:p 1 , 2 , 1.0 . e:b e:p 3 , 4 ."
+    got = {r[0]: r for r in _solutions(spark, data, "SELECT ?s (SUM(?o) AS ?n) (AVG(DISTINCT ?o) AS ?m) WHERE { ?s e:p ?o } GROUP BY ?s")}
+    a, b = got["urn:e:a"], got["urn:e:b"]
+    assert float(a[2]) == 4 and a[3].endswith("double|") and abs(float(a[4]) - 4 / 3) < 1e-9
+    assert b[2] == "7" and b[3].endswith("integer|")
+
+
+def test_functions_keep_types_and_languages(spark):
+    data = "e:a e:p 2.5 ; e:q 'Ab'@en ; e:d '2020-01-01T10:00:00+05:30'^^<http://www.w3.org/2001/XMLSchema#dateTime> ."
+    text = "SELECT (ROUND(?p) AS ?r) (UCASE(?q) AS ?u) (TIMEZONE(?d) AS ?z) (ABS(-3) AS ?i) WHERE { ?s e:p ?p ; e:q ?q ; e:d ?d }"
+    r, rt, u, ut, z, zt, i, it = _solutions(spark, data, text)[0]
+    assert float(r) == 3 and rt.endswith("decimal|") and u == "AB" and ut.endswith("|en") and z == "PT5H30M" and zt.endswith("#dayTimeDuration|") and (i, it[-8:]) == ("3", "integer|")
+
+
+def test_optional_filters_see_both_sides(spark):
+    data = "e:a e:p 1 ; e:q 5 . e:b e:p 9 ; e:q 5 ."
+    got = _solutions(spark, data, "SELECT ?s ?q WHERE { ?s e:p ?p OPTIONAL { ?s e:q ?q FILTER(?q > ?p) } }")
+    assert [(r[0], r[2]) for r in got] == [("urn:e:a", "5"), ("urn:e:b", None)]
+
+
+def test_numeric_bounds_need_numeric_datatypes(spark):
+    from facetgraph.operators import aggregates as ag
+
+    rows = [("p", "1", "string", 1), ("q", "1", "int", 1), ("q", "2.5", "http://www.w3.org/2001/XMLSchema#decimal", 1)]
+    got = {r["property"]: (r["min_value"], r["max_value"]) for r in ag.distribution(spark.createDataFrame(rows, "property string, value string, datatype string, n bigint")).collect()}
+    assert got == {"p": (None, None), "q": (1.0, 2.5)}
