@@ -81,6 +81,15 @@ class Catalog:
     def knows_property(self, key: str) -> bool:
         return any(d.property(key) or d.interval(key) for d in self.domains.values())
 
+    def correct_domains(self, domains: tuple[str, ...], keys: list[str]) -> tuple[str, ...]:
+        """The domains, and those of keys that none of them has; keys of no domain change nothing."""
+        chosen, needed = set(domains), []
+        for key in keys:
+            having = [d.name for d in self.domains.values() if d.property(key) or d.interval(key)]
+            if having and not chosen & set(having):
+                needed += having
+        return tuple(dict.fromkeys([*domains, *needed]))
+
     def expand(self, filters: dict) -> dict:
         """Concepts in filters replaced by the values below them; a list stays a list, unknown values stay."""
         out = {}

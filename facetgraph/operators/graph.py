@@ -20,7 +20,7 @@ def sequence(*steps: DataFrame) -> DataFrame:
     return out
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """The same rows with a short lineage, through the session's checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -35,11 +35,11 @@ def closure(edges: DataFrame, reflexive: bool = True, nodes: DataFrame | None =
 
     A path of length n is found in about log2(n) rounds. ``nodes`` (column n) adds nodes without edges.
     """
-    known = _cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    known = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     count = known.count()
     while True:
         longer = known.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        known = _cut(known.unionByName(longer).distinct())
+        known = cut(known.unionByName(longer).distinct())
         now = known.count()
         if now == count:
             break
@@ -68,12 +68,12 @@ def distances(edges: DataFrame) -> DataFrame:
 
     A round that knows all of up to n steps joins those of exactly n with all, so about log2(longest) rounds do.
     """
-    known, length = _cut(edges.select("src", "dst").where("src <> dst").distinct().withColumn("depth", F.lit(1))), 1
+    known, length = cut(edges.select("src", "dst").where("src <> dst").distinct().withColumn("depth", F.lit(1))), 1
     while True:
         far = known.where(F.col("depth") == length).select("src", F.col("dst").alias("mid"), F.col("depth").alias("so_far"))
         on = known.select(F.col("src").alias("mid"), "dst", "depth")
         longer = far.join(on, "mid").where("src <> dst").groupBy("src", "dst").agg(F.min(F.col("so_far") + F.col("depth")).alias("depth"))
-        fresh = _cut(longer.join(known, ["src", "dst"], "left_anti"))
+        fresh = cut(longer.join(known, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return known
         known, length = known.unionByName(fresh), 2 * length
@@ -85,12 +85,12 @@ def closure_with_depth(edges: DataFrame, roots: DataFrame, most: int | None = No
     Level by level; seen pairs are left out, so cycles end.
     """
     front = roots.select(F.col("n").alias("root"), F.col("n").alias("node")).distinct().withColumn("depth", F.lit(0))
-    seen = _cut(front)
+    seen = cut(front)
     front, depth = seen, 0
     while most is None or depth < most:
         depth += 1
         reached = front.join(edges.select("src", "dst"), F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        front = _cut(reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(reached.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetgraph.catalog import Catalog, Domain, Hop, Property, Reference, normalize_domain
 from facetgraph.functions.text import local_name, namespace
 from facetgraph.operators.aggregates import first_per_key
-from facetgraph.operators.graph import closure, leaf_descendants, list_members
+from facetgraph.operators.graph import closure, cut, leaf_descendants, list_members
 from facetgraph.sources.rdf import RDF
 
 # fixed values: vocabularies
@@ -129,3 +130,113 @@ def one_of_drift(quads: DataFrame) -> DataFrame:
     first = quads.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("value"))
     members = list_members(rest, first).join(pairs(quads, OWL + "oneOf", "class", "head"), "head").select("class", "value")
     return members.join(enumerations(quads).select("value").distinct(), "value", "left_anti").select("class", "value")
+
+
+def shape_owners(quads: DataFrame) -> DataFrame:
+    """shape, owner: a shape's target class; parts of a shape under sh:and, sh:or, sh:xone or sh:node belong to the same.
+
+    Combinators may be nested to any depth. A shape that no target class reaches is its own owner.
+    """
+    rest = pairs(quads, RDF + "rest", "src", "dst").where(F.col("dst") != RDF + "nil")
+    first = quads.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("value"))
+    heads = quads.where(F.col("p").isin(SH + "and", SH + "or", SH + "xone")).select(F.col("s").alias("src"), F.col("o").alias("head"))
+    listed = heads.join(list_members(rest, first), "head").select("src", F.col("value").alias("dst"))
+    property_shapes = pairs(quads, SH + "path", "src", "path").select("src")
+    nested = pairs(quads, SH + "node", "src", "dst").join(property_shapes, "src", "left_anti")
+    parts = listed.unionByName(nested).distinct()
+    target = pairs(quads, SH + "targetClass", "src", "owner")
+    owned = target.select(F.col("src").alias("shape"), "owner").unionByName(closure(parts).join(target, "src").select(F.col("dst").alias("shape"), "owner")).distinct()
+    shapes = pairs(quads, SH + "property", "shape", "prop").select("shape").distinct()
+    return cut(owned.unionByName(shapes.join(owned.select("shape"), "shape", "left_anti").select("shape", F.col("shape").alias("owner"))))
+
+
+def shape_leaves(quads: DataFrame) -> DataFrame:
+    """owner, path, kind, child, datatype of all property shapes. kind: edge (to the owner ``child``), class, iri or literal."""
+    owners = shape_owners(quads)
+    prop = pairs(quads, SH + "property", "shape", "prop").join(pairs(quads, SH + "path", "prop", "path"), "prop").join(owners, "shape")
+    node = pairs(quads, SH + "node", "prop", "shape_of").join(owners.select(F.col("shape").alias("shape_of"), F.col("owner").alias("child_of")), "shape_of").select("prop", "child_of")
+    kind = pairs(quads, SH + "class", "prop", "class_of")
+    iri = pairs(quads, SH + "nodeKind", "prop", "node_kind")
+    rows = prop.join(node, "prop", "left").join(kind, "prop", "left").join(iri, "prop", "left").join(pairs(quads, SH + "datatype", "prop", "datatype"), "prop", "left")
+    named = F.when(F.col("child_of").isNotNull(), "edge").when(F.col("class_of").isNotNull(), "class").when(F.col("node_kind") == SH + "IRI", "iri").otherwise("literal")
+    return cut(rows.select("owner", "path", named.alias("kind"), F.coalesce("child_of", "class_of").alias("child"), "datatype").distinct())
+
+
+def property_paths(quads: DataFrame, depth: int = 6) -> DataFrame:
+    """asset, name, iri, kind, datatype, child, steps: each leaf that a target class reaches, by its shortest path.
+
+    steps are predicates with the leaf's last; walks follow edges between shapes, from the class and its superclasses, of
+    at most ``depth`` edges. Of equally short paths the first by text is taken.
+    """
+    leaves = shape_leaves(quads)
+    edges = leaves.where("kind = 'edge' and owner <> child").select(F.col("owner").alias("at"), F.col("path").alias("step"), "child").distinct()
+    asset = pairs(quads, SH + "targetClass", "shape", "asset").select("asset").distinct()
+    above = subclasses(quads).select(F.col("src").alias("asset"), F.col("dst").alias("node"))
+    none = F.array().cast("array<string>")
+    front = cut(asset.withColumn("node", F.col("asset")).unionByName(above.join(asset, "asset")).distinct().withColumn("steps", none))
+    reached = front
+    for _ in range(depth):
+        onward = front.join(edges, F.col("node") == F.col("at")).select("asset", F.col("child").alias("node"), F.array_append("steps", F.col("step")).alias("steps"))
+        new = onward.groupBy("asset", "node").agg(F.min("steps").alias("steps"))
+        front = cut(new.join(reached.select("asset", "node"), ["asset", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front)
+    ends = leaves.where("kind <> 'edge'").withColumnRenamed("owner", "node").join(reached, "node")
+    rows = ends.select("asset", local_name(F.col("path")).alias("name"), F.col("path").alias("iri"), "kind", "datatype", "child", F.array_append("steps", F.col("path")).alias("steps"))
+    return first_per_key(rows, ["asset", "iri"], F.size("steps"), F.array_join("steps", " "), "kind").select(rows.columns)
+
+
+def reference_chains(paths: DataFrame) -> DataFrame:
+    """The property paths that end at another entity: leaves of kind class or iri."""
+    return paths.where(F.col("kind").isin("class", "iri"))
+
+
+def constraint_index(quads: DataFrame) -> DataFrame:
+    """path, datatypes, allowed, patterns, least, most: what shapes ask of a path's values, of all its property shapes."""
+    bound = lambda name, out: pairs(quads, SH + name, "prop", out)
+    path = pairs(quads, SH + "path", "prop", "path")
+    allowed = enumerations(quads).groupBy("path").agg(F.array_sort(F.collect_set("value")).alias("allowed"))
+    rows = path.join(bound("datatype", "datatype"), "prop", "left").join(bound("pattern", "pattern"), "prop", "left")
+    low = bound("minInclusive", "low").unionByName(bound("minExclusive", "low"))
+    high = bound("maxInclusive", "high").unionByName(bound("maxExclusive", "high"))
+    rows = rows.join(low, "prop", "left").join(high, "prop", "left")
+    found = rows.groupBy("path").agg(
+        F.array_sort(F.collect_set("datatype")).alias("datatypes"),
+        F.array_sort(F.collect_set("pattern")).alias("patterns"),
+        F.min(F.col("low").try_cast("double")).alias("least"),
+        F.max(F.col("high").try_cast("double")).alias("most"),
+    )
+    return found.join(allowed, "path", "left").select("path", "datatypes", F.coalesce("allowed", F.array().cast("array<string>")).alias("allowed"), "patterns", "least", "most")
+
+
+def catalog_of_shapes(quads: DataFrame, tables: dict[str, tuple[str, str, str]]) -> Catalog:
+    """The catalog of the target classes that are tables: class name -> (table, key, label).
+
+    Predicates are named after columns. An edge to a class that is a table is a join on the table's key and, from a
+    target class, a reference. The driver holds the schema's paths, whose number the schema bounds, not the data.
+    """
+    leaf_rows = property_paths(quads).where("kind = 'literal'").collect()
+    edge_rows = shape_leaves(quads).where("kind = 'edge'").select("owner", "path", "child").distinct().collect()
+    short = lambda iri: iri.rstrip("/#").replace("#", "/").replace(":", "/").rsplit("/", 1)[-1]
+    child = {(short(r["owner"]), short(r["path"])): short(r["child"]) for r in edge_rows}
+
+    def hops(owner: str, steps: list[str]) -> tuple[Hop, ...] | None:
+        out = []
+        for step in steps:
+            owner = child.get((owner, short(step)), "")
+            if owner not in tables:
+                return None
+            out.append(Hop(short(step), tables[owner][0], tables[owner][1]))
+        return tuple(out)
+
+    domains = {}
+    for name, (table, key, label) in sorted(tables.items()):
+        made = []
+        for r in sorted(leaf_rows, key=lambda r: (len(r["steps"]), r["steps"])):
+            if short(r["asset"]) == name and (way := hops(name, r["steps"][:-1])) is not None:
+                kind = "numeric" if short(r["datatype"] or "") in ("integer", "decimal", "double", "float", "int", "long") else "literal"
+                made.append(Property(short(r["iri"]), short(r["iri"]), way, kind))
+        links = tuple(Reference(normalize_domain(c), (Hop(p, tables[c][0], tables[c][1]),)) for (o, p), c in sorted(child.items()) if o == name and c in tables)
+        domains[normalize_domain(name)] = Domain(normalize_domain(name), table, key, label, tuple(made), references=links)
+    return Catalog(domains, parents={d.name: tuple(r.target for r in d.references) for d in domains.values()})

@@ -337,6 +337,42 @@ def quads_of(spark: SparkSession, text: str, graph: str | None = None, jsonld: b
     return spark.createDataFrame([(graph, *r) for r in dict.fromkeys(rows)], QUADS)
 
 
+class SourceError(ValueError):
+    """Sources that hold nothing to load."""
+
+
+def discover(spark: SparkSession, roots: list[str], pattern: str = "*.ttl", domains: set[str] | None = None) -> DataFrame:
+    """root, domain (the folder's name), path, bytes of the files below the roots, in the allowed domains if any are named."""
+    out = None
+    for root in roots:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+        rows = files.select(F.lit(root).alias("root"), F.element_at(F.split("path", "/"), -2).alias("domain"), "path", F.col("length").alias("bytes"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise SourceError("no folder of sources is named")
+    return out.where(F.col("domain").isin(*sorted(domains))) if domains else out
+
+
+def load_schema(spark: SparkSession, roots: list[str], graph: str = "urn:graph:schema", domains: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Quads of all readable Turtle files below the roots, and root, files, broken of each root.
+
+    Files that can't be read are left out and counted; if no file gives a triple, or a root has no file, SourceError says so.
+    """
+    files = discover(spark, roots, domains=domains).select("root", "path").collect()  # names of files alone
+    paths = [r["path"] for r in files]
+    empty = [r for r in roots if not any(f["root"] == r for f in files)]
+    if empty:
+        raise SourceError(f"no Turtle files below {', '.join(empty)}")
+    broken = read_problems(spark, paths).select(F.col("path").alias("bad"), "problem")
+    quads = read_turtle(spark, paths, graph)
+    if quads.isEmpty():
+        raise SourceError(f"none of {len(paths)} schema files could be loaded")
+    listed = spark.createDataFrame([(f["root"], f["path"]) for f in files], "root string, path string")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    counts = listed.join(broken, plain(F.col("path")) == plain(F.col("bad")), "left").groupBy("root").agg(F.count("*").alias("files"), F.count("problem").alias("broken"))
+    return quads, counts
+
+
 def load_instances(spark: SparkSession, turtle: list[str], jsonld: list[str], contexts: dict[str, dict] | None = None) -> DataFrame:
     """JSON-LD where there is any, else Turtle: a package's two forms are one set of data."""
     return read_jsonld(spark, jsonld, None, contexts) if jsonld else read_turtle(spark, turtle)

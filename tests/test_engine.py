@@ -222,3 +222,59 @@ def test_numeric_bounds_need_numeric_datatypes(spark):
     rows = [("p", "1", "string", 1), ("q", "1", "int", 1), ("q", "2.5", "http://www.w3.org/2001/XMLSchema#decimal", 1)]
     got = {r["property"]: (r["min_value"], r["max_value"]) for r in ag.distribution(spark.createDataFrame(rows, "property string, value string, datatype string, n bigint")).collect()}
     assert got == {"p": (None, None), "q": (1.0, 2.5)}
+
+
+def test_domains_follow_the_properties_used():
+    catalog = lifted_catalog()
+    assert catalog.correct_domains(("customer",), ["mktsegment", "unheard"]) == ("customer",)
+    assert catalog.correct_domains(("customer",), ["brand"]) == ("customer", "part")
+    assert catalog.correct_domains((), ["acctbal"]) == ("customer", "supplier")
+
+
+def test_schema_sources_are_counted_and_must_hold_something(spark, tmp_path):
+    for folder, name, text in (("a", "x.ttl", "@prefix e: <urn:e:> . e:s e:p e:o ."), ("b", "bad.ttl", "e:s e:p"), ("b", "y.ttl", "@prefix e: <urn:e:> . e:t e:p 1 .")):
+        (tmp_path / "root" / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / folder / name).write_text(text)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "z.ttl").write_text("<a> <b>")
+    root = str(tmp_path / "root")
+    quads, counts = rdf.load_schema(spark, [root])
+    assert quads.count() == 2 and [tuple(r) for r in counts.collect()] == [(root, 3, 1)]
+    assert rdf.load_schema(spark, [root], domains={"a"})[0].count() == 1
+    for bad in ([root, str(tmp_path / "empty")], [str(tmp_path / "broken")]):
+        with pytest.raises(rdf.SourceError):
+            rdf.load_schema(spark, bad)
+
+
+def test_paths_take_the_shortest_way_through_combinators_and_superclasses(spark):
+    from facetgraph import schema as sc
+
+    text = """@prefix sh: <http://www.w3.org/ns/shacl#> . @prefix e: <urn:e/> . @prefix r: <http://www.w3.org/2000/01/rdf-schema#> .
+    e:A sh:targetClass e:a ; sh:or ( [ sh:and ( [ sh:property [ sh:path e:toB ; sh:node e:B ] ] ) ] [ sh:property [ sh:path e:own ] ] ) .
+    e:B sh:targetClass e:b ; sh:property [ sh:path e:deep ] , [ sh:path e:back ; sh:node e:A ] , [ sh:path e:near ; sh:nodeKind sh:IRI ] , [ sh:path e:one ; sh:class e:a ] .
+    e:Sub sh:targetClass e:sub . e:sub r:subClassOf e:b ."""
+    quads = rdf.quads_of(spark, text)
+    paths = sc.property_paths(quads)
+    got = {(r["asset"][6:], r["name"]): [s[6:] for s in r["steps"]] for r in paths.collect()}
+    assert got["a", "deep"] == ["toB", "deep"] and got["a", "own"] == ["own"] and got["b", "own"] == ["back", "own"]
+    assert got["sub", "deep"] == ["deep"] and got["sub", "own"] == ["back", "own"]
+    assert {(r["asset"][6:], r["name"], r["kind"]) for r in sc.reference_chains(paths).collect()} == {(a, n, k) for a in ("a", "b", "sub") for n, k in (("near", "iri"), ("one", "class"))}
+
+
+def test_budgets_against_a_plain_loop(spark):
+    import random
+
+    from facetgraph.operators import aggregates as ag
+
+    pick = random.Random(1)
+    rows = [("ab"[i % 2], i, pick.randint(1, 9)) for i in range(40)]
+    wanted = []
+    for key in "ab":
+        left = 20
+        for j, r in enumerate(x for x in rows if x[0] == key):
+            if j == 0 or r[2] <= left:
+                wanted.append(r)
+                left -= r[2]
+    got = ag.budgeted(spark.createDataFrame(rows, "k string, i bigint, size bigint"), ["k"], ["i"], "size", 20)
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
