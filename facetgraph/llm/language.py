@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ from facetgraph.llm.common import tidy
 BITS = 16
 #: Letters in a chain position at most: longer runs, as of scripts without blanks, are several positions.
 PIECE = 48
+#: Marks that features of a kind begin with; features are hashed to the lower BITS bits.
+_WORD, _FIRST, _LAST, _UNKNOWN = (zlib.crc32(x) for x in (b"w", b"p", b"s", b"w?"))
+MASK = (1 << BITS) - 1
 #: Bytes of text judged at a time; a longer text is judged alone.
 PART_BYTES = 8_000_000
 PREDICTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_switches", T.LongType())])
@@ -48,14 +52,14 @@ def word_pieces(text: str | None) -> list[str]:
 
 def word_features(letters: str, lexicon: dict[str, int] | set[str]) -> list[int]:
     """Hashed prefixes and suffixes of 1 to 3, inner 2- and 3-grams, and the word itself if the lexicon has it."""
-    raw = letters.encode()
-    mask, crc = (1 << BITS) - 1, zlib.crc32
-    out = [crc(b"w" + raw if letters in lexicon else b"w?") & mask]
-    for k in (1, 2, 3):
-        out.append(crc(b"p" + letters[:k].encode()) & mask)
-        out.append(crc(b"s" + letters[-k:].encode()) & mask)
-    for k in (2, 3):
-        out += [crc(letters[i : i + k].encode()) & mask for i in range(len(letters) - k + 1)]
+    raw, crc = letters.encode(), zlib.crc32
+    cut = raw if len(raw) == len(letters) else letters  # where a letter is a byte, its slices needn't be encoded
+    marks = [cut[:1], cut[:2], cut[:3]], [cut[-1:], cut[-2:], cut[-3:]], [cut[i : i + 2] for i in range(len(cut) - 1)] + [cut[i : i + 3] for i in range(len(cut) - 2)]
+    first, last, inner = marks if cut is raw else ([x.encode() for x in m] for m in marks)
+    out = [crc(raw, _WORD) if letters in lexicon else _UNKNOWN]
+    out += [crc(x, _FIRST) for x in first]
+    out += [crc(x, _LAST) for x in last]
+    out += map(crc, inner)
     return out
 
 
@@ -81,7 +85,7 @@ class CrfModel:
         some = [i for i, c in enumerate(cores) if c]
         if some:
             ids = [word_features(cores[i], self.lexicon) for i in some]
-            flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in ids])
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64) & MASK
             sums = np.add.reduceat(self.weights[flat], np.cumsum([0, *map(len, ids)])[:-1], axis=0)
             out[some] = np.exp(sums - sums.max(axis=1, keepdims=True))
         return out
@@ -180,7 +184,7 @@ def fit_crf(samples: list[tuple[str, str]], *, length: int = 64, epochs: int = 3
     weights, move = np.zeros((1 << BITS, k), dtype=np.float32), np.zeros((k, k), dtype=np.float32)
     seen_w, seen_m = np.full_like(weights, 1e-2), np.full_like(move, 1e-2)
     distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids = [np.asarray(word_features(w, lexicon), dtype=np.int64) for w in distinct]
+    ids = [np.asarray(word_features(w, lexicon), dtype=np.int64) & MASK for w in distinct]
     order = np.asarray([distinct[w] for w in words], dtype=np.int64)
     for _ in range(epochs if count else 0):
         mixed = rng.permutation(count)
