@@ -510,12 +510,12 @@ k AS (SELECT query, list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'
 p AS (SELECT query, unnest(CASE WHEN len(toks) = 0 THEN [lower(query)] ELSE toks END) AS tok, len(toks) > 0 AS stems FROM k),
 c AS (SELECT query, tok, stems, regexp_replace(tok, '(ies|es|s)$', '') AS stem, suggestion, lower(suggestion) AS w FROM p CROSS JOIN v),
 s AS (SELECT query, suggestion, max(greatest(1 - levenshtein(tok, w)::DOUBLE / greatest(length(tok), length(w)), CASE WHEN stems AND (contains(w, stem) OR contains(stem, w)) THEN least(length(stem), length(w))::DOUBLE / greatest(length(stem), length(w)) ELSE 0.0 END)) AS score FROM c GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, suggestion) AS INTEGER) AS rank FROM s WHERE score >= 0.3)
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, suggestion) AS INTEGER) AS rank FROM s WHERE score >= 0.5)
 SELECT query, suggestion, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
 )
 def suggestions(spark, d):
     asked = spark.createDataFrame([("red widgit",), ("smal rings",), ("of a",)], "query string")
-    found = vl.suggestions(asked, t(spark, d, "part").select(F.col("p_name").alias("suggestion")), floor=0.3)
+    found = vl.suggestions(asked, t(spark, d, "part").select(F.col("p_name").alias("suggestion")))
     return found.withColumn("score", F.round("score", 6))
 
 
