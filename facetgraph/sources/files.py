@@ -15,6 +15,7 @@ from facetgraph.functions.text import csv_safe
 ROAD_XML = "road array<struct<_id string, _length double, planView struct<geometry array<struct<_s double, _hdg double, _length double, arc struct<_curvature double>, spiral struct<_curvStart double, _curvEnd double>>>>, link struct<successor struct<_elementType string, _elementId string>>, lanes struct<laneSection array<struct<left struct<lane array<struct<_id int, _type string>>>, right struct<lane array<struct<_id int, _type string>>>>>>>>"
 CHECKS_XML = "CheckerBundle array<struct<_name string, Checker array<struct<_checkerId string, Issue array<struct<_issueId string, _description string, _level int>>>>>>"
 CATALOG_XML = "uri array<struct<_name string, _uri string>>"
+ISSUES = 5_000  # of one text of checker results
 
 
 def roads(files: DataFrame, xml: str = "value") -> DataFrame:
@@ -52,12 +53,23 @@ def checker_issues(files: DataFrame, xml: str = "value") -> DataFrame:
     return rows.select("bundle", "checker", F.col("i._issueId").alias("issue"), F.col("i._description").alias("description"), F.col("i._level").alias("level"))
 
 
-def checker_xml(gaps: DataFrame) -> DataFrame:
-    """gate, xml: issues (gate, checker, issue, description) of each gate as one XML text."""
+def checker_xml(gaps: DataFrame, most: int = ISSUES) -> DataFrame:
+    """gate, part, xml: issues (gate, checker, issue, description) of each gate as XML texts of about ``most`` issues.
+
+    Each text is a bundle of the gate's name; side by side under one root they are the gate's whole results. Issues are
+    dealt by their hash, copies of one by ``most`` at a time, so no text grows with its gate.
+    """
+    piece, n = F.col("piece"), F.col("n")
+    copies = gaps.groupBy("gate", "checker", "issue", "description").agg(F.count("*").alias("n"))
+    copies = copies.select("*", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / most))).alias("piece")).withColumn("n", F.least(F.lit(most), n - piece * most).cast("int"))
+    large = gaps.groupBy(F.col("gate").alias("of")).agg(F.ceil(F.count("*") / most).alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    part = F.pmod(F.pmod(F.xxhash64("checker", "issue", "description"), parts) + piece, parts)
+    dealt = copies.join(F.broadcast(large), F.col("gate").eqNullSafe(F.col("of")), "left").withColumn("part", part).repartition("gate", "part")
     issue = F.struct(F.col("issue").alias("_issueId"), F.col("description").alias("_description"))
-    checkers = gaps.groupBy("gate", "checker").agg(F.array_sort(F.collect_list(issue)).alias("Issue"))
-    bundles = checkers.groupBy("gate").agg(F.array_sort(F.collect_list(F.struct(F.col("checker").alias("_checkerId"), "Issue"))).alias("Checker"))
-    return bundles.select("gate", F.to_xml(F.struct(F.col("gate").alias("_name"), "Checker"), {"rowTag": "CheckerBundle"}).alias("xml"))
+    checkers = dealt.groupBy("gate", "part", "checker").agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat(issue, n)))).alias("Issue"))
+    bundles = checkers.groupBy("gate", "part").agg(F.sort_array(F.collect_list(F.struct(F.col("checker").alias("_checkerId"), "Issue"))).alias("Checker"))
+    return bundles.select("gate", "part", F.to_xml(F.struct(F.col("gate").alias("_name"), "Checker"), {"rowTag": "CheckerBundle"}).alias("xml"))
 
 
 def catalog_entries(files: DataFrame, xml: str = "value") -> DataFrame:

@@ -48,3 +48,23 @@ def test_filters_reach_the_scan(spark):
 def test_suggestions_have_five_at_most(spark):
     rows = queries.suggestions(spark, DATA).collect()
     assert rows and all(r["rank"] <= 5 and r["score"] >= 0.5 for r in rows)
+
+
+def test_checker_results_come_in_parts_and_lose_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from facetgraph.sources import files as fl
+
+    many = spark.range(12_000).select(F.lit("a").alias("gate"), F.lit("c").alias("checker"), F.concat(F.lit("i"), F.col("id").cast("string")).alias("issue"), F.lit("x < y").alias("description"))
+    copies = many.withColumn("issue", F.lit("same"))
+    no_gate = many.withColumn("gate", F.lit(None).cast("string"))
+    odd = spark.createDataFrame([("b", None, "i", "d"), ("b", "c", None, "d"), ("b", "c", "i", None), ("b", "c2", "i", "d")], "gate string, checker string, issue string, description string")
+    gaps = many.unionByName(copies).unionByName(no_gate).unionByName(odd).cache()
+    xml = fl.checker_xml(gaps).select("gate", F.concat(F.lit("<Results>"), "xml", F.lit("</Results>")).alias("value")).cache()
+    sizes = xml.select("gate", F.size(F.split("value", "<Issue")) - 1).collect()
+    assert sum(n for _, n in sizes) == gaps.count() and max(n for _, n in sizes) <= 10_000
+    assert [n for gate, n in sizes if gate == "b"] == [4]
+    back = fl.checker_issues(xml).select(F.col("bundle").alias("gate"), "checker", "issue", "description")
+    assert back.exceptAll(gaps).isEmpty() and gaps.exceptAll(back).isEmpty()
+    one = xml.agg(F.array_join(F.collect_list(F.regexp_replace("value", "</?Results>", "")), "").alias("xml"))
+    assert fl.checker_issues(one.select(F.concat(F.lit("<Results>"), "xml", F.lit("</Results>")).alias("value"))).count() == gaps.count()
