@@ -69,5 +69,5 @@ def shape_constraints(spark, d):
 def search_by_shapes(spark, d):
     catalog = sc.catalog_of_shapes(rdf.quads_of(spark, SHAPES, "urn:graph:schema"), TABLES)
     slots = parse_slots({"domains": ["customer"], "filters": {"r_name": "ASIA", "c_mktsegment": "BUILDING"}, "ranges": {"c_acctbal": {"min": 5000}}})
-    found = lower(plan_search(slots, catalog), lambda name: t(spark, d, name), 100_000)
+    found = lower(plan_search(slots, catalog), lambda name: t(spark, d, name))
     return found.select("asset", "name", "c_mktsegment", "r_name")

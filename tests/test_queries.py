@@ -68,3 +68,15 @@ def test_checker_results_come_in_parts_and_lose_nothing(spark):
     assert back.exceptAll(gaps).isEmpty() and gaps.exceptAll(back).isEmpty()
     one = xml.agg(F.array_join(F.collect_list(F.regexp_replace("value", "</?Results>", "")), "").alias("xml"))
     assert fl.checker_issues(one.select(F.concat(F.lit("<Results>"), "xml", F.lit("</Results>")).alias("value"))).count() == gaps.count()
+
+
+def test_search_by_shapes_gives_all_rows(spark, db, tmp_path):
+    from facetgraph.shape_queries import search_by_shapes
+
+    n = 1_200
+    db.sql(f"COPY (SELECT i AS c_custkey, 'c' || i AS c_name, (i % 25)::INTEGER AS c_nationkey, 6000.0::DOUBLE AS c_acctbal, 'BUILDING' AS c_mktsegment FROM range({n * 5}) r(i)) TO '{tmp_path}/customer.parquet'")
+    for name in ("nation", "region"):
+        db.sql(f"COPY (SELECT * FROM {name}) TO '{tmp_path}/{name}.parquet'")
+    wanted = db.sql(queries.oracle_sql()["search_by_shapes"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet'"))
+    got = search_by_shapes(spark, str(tmp_path)).select(wanted.columns).collect()
+    assert len(got) == n and plain(got) == plain(wanted.fetchall())
