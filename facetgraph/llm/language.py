@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -63,6 +63,14 @@ def word_features(letters: str, lexicon: dict[str, int] | set[str]) -> list[int]
     return out
 
 
+class Numbers(dict):
+    """Words by the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 @dataclass
 class CrfModel:
     """Label names, emission weights [feature, label], log transitions [from, to], the lexicon."""
@@ -90,23 +98,27 @@ class CrfModel:
             out[some] = np.exp(sums - sums.max(axis=1, keepdims=True))
         return out
 
-    def look_up(self, texts: list[list[str]]) -> np.ndarray:
-        """Rows of ``table`` for all words of the texts, one after the other."""
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """Rows of ``table`` for distinct words."""
         known = self.known
-        fresh = list(dict.fromkeys(w for words in texts for w in words if w not in known))
+        fresh = [w for w in words if w not in known]
         if self.table is None or len(known) + len(fresh) > self.entries:
             known.clear()
-            fresh = list(dict.fromkeys(w for words in texts for w in words))
+            fresh = words
             self.table, self.used = np.ones((max(self.entries, len(fresh)), len(self.labels) + 1), dtype=np.float32), 0
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
+        for at in range(0, len(fresh), 5_000):
+            part = fresh[at : at + 5_000]
             cores = [core(w) for w in part]
             rows = slice(self.used, self.used + len(part))
             self.table[rows, :-1] = self._scores(cores)
             self.table[rows, -1] = [len(c) for c in cores]
             known.update(zip(part, range(rows.start, rows.stop), strict=True))
             self.used = rows.stop
-        return np.fromiter((known[w] for words in texts for w in words), dtype=np.int64, count=sum(map(len, texts)))
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def forget(self) -> None:
+        """Lets go of the words met; workers live on between tasks."""
+        self.known, self.table, self.used = {}, None, 0
 
     def marginals(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Forward-backward over texts that lie one after the other, longest first, all texts in step."""
@@ -130,10 +142,27 @@ class CrfModel:
             beta[:n] = back / back.sum(axis=1, keepdims=True)
         at = starts[: live_at[0]] if longest else starts[:0]
         alpha[at] *= beta[: len(at)]
-        return alpha / np.maximum(alpha.sum(axis=1, keepdims=True), np.float32(1e-30))
+        alpha /= np.maximum(alpha.sum(axis=1, keepdims=True), np.float32(1e-30))
+        return alpha
+
+    def predict(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label (-1: no letter), its share of the letters and the changes of label, for each list of words.
+
+        Texts are taken one by one and only their words' numbers kept, 4 bytes a word, until all or ``entries`` distinct
+        words are met; so a text's list of words may be made when it is asked for and needn't outlive it.
+        """
+        judged, numbers, met = [], [], Numbers()
+        for words in texts:
+            numbers.append(np.fromiter(map(met.__getitem__, words), dtype=np.int32, count=len(words)))
+            if len(met) > self.entries:
+                judged.append(self._judge(numbers, self.look_up(list(met))))
+                numbers, met = [], Numbers()
+        judged.append(self._judge(numbers, self.look_up(list(met))))
+        best, share, switches = (np.concatenate(x) for x in zip(*judged, strict=True))
+        return best, share, switches
 
-    def predict(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Label (-1: no letter), its share of the letters and the changes of label, for each list of words."""
+    def _judge(self, texts: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """predict() for texts as numbers of their words; ``place`` has the row of ``table`` for each number."""
         n = len(texts)
         best, share, switches = np.full(n, -1), np.zeros(n), np.zeros(n, dtype=np.int64)
         sizes = np.asarray([len(w) for w in texts], dtype=np.int64)
@@ -141,12 +170,14 @@ class CrfModel:
         order = order[sizes[order] > 0]
         ends = np.cumsum(sizes[order]) // 400_000
         for part in np.split(order, np.flatnonzero(np.diff(ends)) + 1) if len(order) else []:
-            rows = self.look_up([texts[i] for i in part])
+            rows = place[np.concatenate([texts[i] for i in part])]
             lengths = sizes[part]
             letters = self.table[rows, -1]
             p = self.marginals(self.table[rows, :-1], lengths)
             starts = np.cumsum(lengths) - lengths
-            sums = np.add.reduceat(p.astype(np.float64) * letters[:, None], starts, axis=0)
+            weighted = p.astype(np.float64)
+            weighted *= letters[:, None]
+            sums = np.add.reduceat(weighted, starts, axis=0)
             total = np.add.reduceat(letters.astype(np.float64), starts)
             top = p.argmax(axis=1)
             change = np.concatenate([[0], top[1:] != top[:-1]])
@@ -260,11 +291,12 @@ def predict_language(docs: DataFrame, model: CrfModel, *, doc_id: str = "doc_id"
             cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
             for at, end in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(at, end - at)
-                texts = [word_pieces(t) for t in column.slice(at, end - at).to_pylist()]
                 if model.labels:
+                    texts = (word_pieces(t.as_py()) for t in column.slice(at, end - at))
                     best, share, switches = model.predict(texts)
                 else:
-                    best, share, switches = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+                    best, share, switches = np.full(end - at, -1), np.zeros(end - at), np.zeros(end - at, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(share), pa.array(switches)], names=schema.names)
+        model.forget()
 
     return rows.mapInArrow(tidy(run), schema)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,13 +137,18 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return mix(out + np.arange(BANDS, dtype=np.uint64))
 
 
-def _parts(batch: pa.RecordBatch, column: int, chars: int = 3_000_000) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
-    texts = batch.column(column).to_pylist()
-    ends = np.cumsum([len(t or "") for t in texts]) // chars
+#: Characters whose shingles are made at a time; a longer text is taken alone.
+PART_CHARS = 1_000_000
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """Slices of a batch of about PART_CHARS, each with its texts' words; the texts of other slices stay in Arrow."""
+    texts = batch.column(column)
+    ends = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy()) // PART_CHARS
     cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if a < b:
-            yield batch.slice(a, b - a), [words_of(t) for t in texts[a:b]]
+            yield batch.slice(a, b - a), [words_of(t.as_py()) for t in texts.slice(a, b - a)]
 
 
 def text_key(words: list[str]) -> bytes:

@@ -4,6 +4,8 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
+import weakref
 import zlib
 from collections import Counter
 
@@ -615,6 +617,59 @@ def test_all_letters_of_a_run_count():
     assert abs(share[0] - len(rest) / len(front + rest)) < 0.01 and switches.tolist()[:2] == [1, 0]
 
 
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+class Words(list):
+    """A list that can be watched."""
+
+    __hash__ = object.__hash__
+    __eq__ = object.__eq__
+
+
+def test_words_of_judged_texts_are_not_kept(monkeypatch):
+    model = language.fit_crf([(letters(i, 200), "a") for i in range(10)])
+    alive, most, marginals = weakref.WeakSet(), [], model.marginals
+
+    def texts():
+        for i in range(50):
+            words = Words(letters(i, 20).split())
+            alive.add(words)
+            yield words
+
+    monkeypatch.setattr(model, "marginals", lambda *x: most.append(len(alive)) or marginals(*x))
+    assert len(model.predict(texts())[0]) == 50
+    assert most and max(most) <= 1, most
+
+
+def test_texts_are_judged_alike_however_many_words_are_met():
+    model = language.fit_crf([(letters(i, 200), "a") for i in range(10)] + [(letters(i, 200).translate(str.maketrans("abcdefghij", "qrstuvwxyz")), "z") for i in range(10)])
+    texts = [letters(i, 30).split() + letters(i, 9 + i).translate(str.maketrans("abcdefghij", "qrstuvwxyz")).split() for i in range(30)]
+    whole = model.predict(texts)
+    model.entries = 100
+    model.forget()
+    for got in (model.predict(texts), model.predict(iter(texts)), [np.concatenate(x) for x in zip(*(model.predict([t]) for t in texts), strict=True)]):
+        assert got[0].tolist() == whole[0].tolist() and np.allclose(got[1], whole[1], atol=1e-5) and got[2].tolist() == whole[2].tolist()
+
+
+def test_parts_of_a_batch_are_signed_one_at_a_time():
+    texts = [letters(at, 300) for at in range(2000)] + [None, ""]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    lists, first = [], []
+    mb = peak_mb(lambda: first.append(next(near_dedup._parts(batch, 1))[0].num_rows))
+    assert sum(len(t or "") for t in texts) > 3_000_000 and mb < 16, mb
+    for part, words in near_dedup._parts(batch, 1):
+        lists += words
+        assert part.num_rows == len(words) <= first[0] + 100
+    assert lists == [near_dedup.words_of(t) for t in texts]
+
+
 # 10
 
 
